@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, sharding
+from . import bpe, exact_dedup, packing, sharding
 from .common import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_packing": lambda s, d: packing.pack(table(s, d, "documents")),
         "op4_sharding": lambda s, d: sharding.shard_report(table(s, d, "documents")),
         "op5_exact_dedup": lambda s, d: exact_dedup.exact_dedup(table(s, d, "documents")),
+        "op8_bpe": lambda s, d: bpe.round_trip(table(s, d, "documents")),
     }
 
 
