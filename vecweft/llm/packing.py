@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import json
 import os
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +23,10 @@ SEQUENCE, END_ID = 4096, 1
 #: Bins that a packer keeps open.
 OPEN_BINS = 256
 #: Words whose ids a worker remembers; the memory is emptied when full.
-WORDS_KEPT, WORD_BYTES = 300_000, 64
+WORDS_KEPT, WORD_BYTES = 500_000, 64
+#: The tokenizer's mark of a word's end, and a byte that stands for it here (UTF-8 has no such byte).
+END_OF_WORD, MARK = "</w>", b"\xff"
+NEVER = 1 << 60
 #: Part-filled bins of all tasks that one task of the second round packs.
 TAILS_A_TASK = 50_000
 
@@ -75,10 +82,14 @@ class Bins:
 
 
 class WordEncoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes.
+    """Ids of texts as little-endian unsigned 32-bit bytes, the same as the tokenizer's.
 
     The tokenizer drops white space and never merges across it, so a text's ids are those of its ASCII
-    white-space separated chunks in turn, and those of short chunks are remembered.
+    white-space separated chunks in turn, and those of short chunks are remembered. A new chunk is normalised
+    and cut into words as the tokenizer's file says; a fast coder proposes a word's tokens from the ranks of
+    whole tokens, and they stand if each is the tokenizer's encoding of itself and each adjacent pair that of
+    the pair's bytes, which makes the list that of the word. Else, and for files of another kind, the
+    tokenizer itself encodes the chunk.
     """
 
     def __init__(self, path: str):
@@ -88,20 +99,110 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[bytes, bytes] = {}
+        self.words = None
+        with open(path) as file:
+            model = json.load(file)
+        if self._as_expected(model):
+            self._prepare(model)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.encode().split() for t in texts]
-        if len(self.known) > WORDS_KEPT:
-            self.known.clear()
-        missing = list({w for words in split for w in words}.difference(self.known))
-        found = self.tokenizer.encode_batch([w.decode() for w in missing], add_special_tokens=False)
-        ids = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(missing, found, strict=True)}
-        self.known.update((w, i) for w, i in ids.items() if len(w) <= WORD_BYTES)
-        ids = {w: i for w, i in ids.items() if len(w) > WORD_BYTES}
-        get = self.known.__getitem__
-        if not ids:
-            return [b"".join(map(get, words)) for words in split]
-        return [b"".join(ids[w] if w in ids else get(w) for w in words) for words in split]
+    @staticmethod
+    def _as_expected(model: dict) -> bool:
+        normal = [n["type"] for n in (model["normalizer"] or {}).get("normalizers", [])]
+        cut = [p["type"] for p in (model["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        bpe = model["model"]
+        plain = bpe["type"] == "BPE" and bpe["end_of_word_suffix"] == END_OF_WORD and not bpe["continuing_subword_prefix"] and not bpe["dropout"] and not bpe["ignore_merges"]
+        return plain and normal == ["NFC", "Replace", "Lowercase"] and cut == ["Split", "ByteLevel"]
+
+    def _prepare(self, model: dict) -> None:
+        import regex
+        import tiktoken
+
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in visible]
+        byte_of = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+        def raw(token: str) -> bytes:
+            ends = token.endswith(END_OF_WORD)
+            return bytes(byte_of[c] for c in (token[: -len(END_OF_WORD)] if ends else token)) + MARK * ends
+
+        bpe, ranks = model["model"], {bytes([i]): i for i in range(256)}
+        ranks |= {bytes([i]) + MARK: 256 + i for i in range(256)}
+        self.pairs: dict[tuple[bytes, bytes], int] = {}
+        for i, merge in enumerate(bpe["merges"]):
+            left, right = map(raw, merge.split(" ") if isinstance(merge, str) else merge)
+            self.pairs[left, right] = i
+            ranks.setdefault(left + right, 512 + i)
+        ids = {raw(t): i for t, i in bpe["vocab"].items() if all(c in byte_of for c in t.removesuffix(END_OF_WORD))}
+        self.raw_of = {rank: token for token, rank in ranks.items()}
+        self.id_of = {rank: ids[token] for token, rank in ranks.items() if token in ids}
+        pattern = model["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.words = regex.compile(pattern.replace(r"\s", r"\p{White_Space}")).findall
+        self.propose = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.holds: dict[tuple[int, ...], bool] = {}
+
+    def _merged(self, data: bytes) -> list[bytes]:
+        """Exact merging of the tokenizer's pairs, lowest first, the leftmost of equals."""
+        ends = data.endswith(MARK)
+        parts = [data[i : i + 1] for i in range(len(data) - ends)]
+        if ends:
+            parts[-1] += MARK
+        while len(parts) > 1:
+            found = [self.pairs.get(pair, NEVER) for pair in zip(parts, parts[1:], strict=False)]
+            best = min(found)
+            if best == NEVER:
+                break
+            i = found.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return parts
+
+    def _stands(self, tokens: tuple[int, ...]) -> bool:
+        """For one token or two adjacent ones."""
+        known = self.holds.get(tokens)
+        if known is None:
+            if len(self.holds) > WORDS_KEPT:
+                self.holds.clear()
+            parts = [self.raw_of[t] for t in tokens]
+            known = self.holds[tokens] = all(t in self.id_of for t in tokens) and self._merged(b"".join(parts)) == parts
+        return known
+
+    def _chunk(self, chunk: bytes) -> bytes:
+        text = chunk.decode()
+        if self.words is not None:
+            if not text.isascii():
+                text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")  # the tokenizer lower-cases each character alone
+            out = array("I")
+            for word in self.words(text.lower()):
+                tokens = self.propose(word.encode() + MARK)
+                if not (self._stands((tokens[0],)) if len(tokens) == 1 else all(map(self._stands, zip(tokens, tokens[1:], strict=False)))):
+                    break
+                out.extend(map(self.id_of.__getitem__, tokens))
+            else:
+                return out.tobytes()
+        return array("I", self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids).tobytes()
+
+    def encode(self, text: str) -> bytes:
+        known, chunks = self.known, text.encode().split()
+        try:
+            return b"".join(map(known.__getitem__, chunks))
+        except KeyError:
+            pass
+        if len(known) > WORDS_KEPT:
+            known.clear()
+        out = []
+        for chunk in chunks:
+            ids = known.get(chunk)
+            if ids is None:
+                ids = self._chunk(chunk)
+                if len(chunk) <= WORD_BYTES:
+                    known[chunk] = ids
+            out.append(ids)
+        return b"".join(out)
+
+
+@functools.cache
+def encoder(path: str) -> WordEncoder:
+    """One for all tasks of a Python worker."""
+    return WordEncoder(path)
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, sequence: int = SEQUENCE, end_id: int = END_ID, open_bins: int = OPEN_BINS, keep_ids: bool = False) -> DataFrame:
@@ -116,13 +217,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     path = tokenizer or default_tokenizer()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, bins, end = WordEncoder(path), Bins(sequence, open_bins), np.array([end_id], "<u4").tobytes()
+        encode, bins, end = encoder(path).encode, Bins(sequence, open_bins), np.array([end_id], "<u4").tobytes()
         first = TaskContext.get().partitionId() << 33
         wide = 4 * sequence
         for batch in pieces_of(batches, 500):
             rows: list[tuple] = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts_of(batch)), strict=True):
-                ids += end
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
+                ids = encode(text) + end
                 for piece, start in enumerate(range(0, len(ids), wide)):
                     part = ids[start : start + wide]
                     bin_, offset = bins.place(len(part) // 4)
