@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, near_dedup, packing, sharding
+from . import bpe, exact_dedup, langid, near_dedup, packing, sharding
 from .common import table
 
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_packing": lambda s, d: packing.pack(table(s, d, "documents")),
         "op4_sharding": lambda s, d: sharding.shard_report(table(s, d, "documents")),
         "op5_exact_dedup": lambda s, d: exact_dedup.exact_dedup(table(s, d, "documents")),
+        "op6_langid": lambda s, d: langid.identify(table(s, d, "documents")),
         "op8_bpe": lambda s, d: bpe.round_trip(table(s, d, "documents")),
         "op9_near_dedup": lambda s, d: near_dedup.near_duplicates(table(s, d, "documents"), words=4),
     }
