@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, near_dedup, packing, sharding
+from . import bpe, exact_dedup, langid, near_dedup, packing, quality, sharding
 from .common import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_packing": lambda s, d: packing.pack(table(s, d, "documents")),
+        "op3_quality": lambda s, d: quality.rate(table(s, d, "documents")),
         "op4_sharding": lambda s, d: sharding.shard_report(table(s, d, "documents")),
         "op5_exact_dedup": lambda s, d: exact_dedup.exact_dedup(table(s, d, "documents")),
         "op6_langid": lambda s, d: langid.identify(table(s, d, "documents")),
