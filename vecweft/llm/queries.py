@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, near_dedup, packing, quality, sharding
+from . import bpe, exact_dedup, langid, near_dedup, packing, quality, sharding, toxicity
 from .common import table
 
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_langid": lambda s, d: langid.identify(table(s, d, "documents")),
         "op8_bpe": lambda s, d: bpe.round_trip(table(s, d, "documents")),
         "op9_near_dedup": lambda s, d: near_dedup.near_duplicates(table(s, d, "documents"), words=4),
+        "op10_toxicity": lambda s, d: toxicity.score(table(s, d, "documents"), table(s, d, "labels")),
     }
 
 
