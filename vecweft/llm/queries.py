@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, near_dedup, packing, pii, quality, sharding, toxicity
+from . import bpe, chat, exact_dedup, langid, near_dedup, packing, pii, quality, sharding, toxicity
 from .common import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chat": lambda s, d: chat.recover(table(s, d, "conversations")),
         "op2_packing": lambda s, d: packing.pack(table(s, d, "documents")),
         "op3_quality": lambda s, d: quality.rate(table(s, d, "documents")),
         "op4_sharding": lambda s, d: sharding.shard_report(table(s, d, "documents")),
