@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import pieces_of, slim, texts_of, written
@@ -215,6 +215,40 @@ def components(links: DataFrame) -> DataFrame:
         edges = written(small.distinct(), "small")
 
 
+def across(members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of members (rep, component, n_shingles) in different components that may be linked: all that are, few others.
+
+    A set that is similar enough to another shares with it one of its n - ceil(percent % of n) + 1 first shingles, in any
+    order that is the same for all sets. In the order used, rare shingles come first, so sets which have
+    little but a frequent passage in common do not meet; and a shared shingle counts only if enough shingles follow it
+    in both. Shingles that only one member has make no pair; they are counted, but not dealt any further.
+    """
+    few = members.count() <= BROADCAST_IDS
+    ids = members.select(F.col("rep").alias("doc_id"))
+    texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingler(words)
+        for batch in pieces_of(batches, 100):
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
+                found = shingles(text).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), doc_id, np.int64))], ["shingle", "rep"])
+
+    rows = texts.mapInArrow(run, "shingle long, rep long")
+    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = rows.join(often, "shingle").join(members, "rep")
+    mine = Window.partitionBy("rep")
+    place, common = F.row_number().over(mine.orderBy("n", "shingle")), F.count(F.lit(1)).over(mine)
+    first = F.expr(f"n_shingles - ceil({percent} * n_shingles / 100) + 1")
+    heads = shared.withColumn("place", place + F.col("n_shingles") - common).where(F.col("place") <= first)
+    heads = written(heads.select("shingle", "place", "rep", "component", "n_shingles"), "heads")
+    x, y = heads.alias("x"), heads.alias("y")
+    # If this is the first shingle that both have, only what follows it in both can be common too.
+    close = F.expr(f"(1 + least(x.n_shingles - x.place, y.n_shingles - y.place)) * {100 + percent} >= {percent} * (x.n_shingles + y.n_shingles)")
+    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") < F.col("y.component")) & close)
+    return pairs.select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -222,9 +256,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``percent`` %; component_id is the smallest id reachable over links. A text of fewer words is one shingle;
     texts without a word, and null ones, have no shingle and no link. Equal sets are one class from the
     start, under their smallest id. Classes that share a band are compared with the band's smallest
-    id; links are confirmed on whole sets and joined by union-find. Then, in bands that still hold two
-    components or more, every pair across components that was not compared yet is, so that no link is lost
-    to the choice of the smallest id; pairs within a component need no comparison.
+    id; links are confirmed on whole sets and joined by union-find. Then the members of bands that still hold two
+    components or more are compared across components, so that no link is lost to the choice of the smallest
+    id; pairs within a component need no comparison (see ``across``).
 
     An empty table gives an empty result. Rows with a null id are grouped with equal sets, else left alone, with
     their group's smallest id if there is one. Repeated rows get the same answer each. Other columns are ignored.
@@ -250,13 +284,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = shared.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"))
     mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
     placed = written(placed.join(mixed, "band"), "placed")
-    by_size = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    rest = placed.join(by_size, "band").where("component <> main").drop("main")
-    x, y = rest.alias("x"), placed.join(by_size, "band").alias("y")
-    close = F.expr(f"100 * least(x.n_shingles, y.n_shingles) >= {percent} * greatest(x.n_shingles, y.n_shingles)")
-    once = F.expr("y.component = y.main or x.rep < y.rep")
-    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.component") != F.col("y.component")) & once & close)
-    pairs = pairs.select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct()
+    pairs = across(placed.select("rep", "component", "n_shingles").distinct(), docs, words, percent)
     more = written(pairs.join(stars, ["a", "b"], "left_anti"), "more")
     if more.take(1):
         links = written(links.unionByName(verified(more, docs, words, percent)), "all_links")
