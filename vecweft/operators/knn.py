@@ -38,11 +38,12 @@ class Queries:
 
 def query_blocks(queries: DataFrame, space: str, q_id: str, vector: str) -> Iterator[Queries]:
     """The queries in blocks of BLOCK_BYTES, in order of id; each block is read by itself."""
+    queries = queries.where(F.col(q_id).isNotNull() & F.col(vector).isNotNull())
     shape = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector)).alias("d")).first()
     blocks = max(1, -(-shape["n"] * 8 * max(shape["d"] or 1, 1) // BLOCK_BYTES))
     for block in range(blocks):
         part = queries.where(F.pmod(F.xxhash64(q_id), F.lit(blocks)) == block) if blocks > 1 else queries
-        rows = part.select(q_id, vector).where(F.col(vector).isNotNull()).orderBy(q_id).collect()
+        rows = part.select(q_id, vector).orderBy(q_id).collect()
         if rows:
             yield Queries([r[0] for r in rows], [r[1] for r in rows], space)
 
