@@ -27,6 +27,8 @@ WORDS_KEPT, WORD_BYTES = 500_000, 64
 #: The tokenizer's mark of a word's end, and a byte that stands for it here (UTF-8 has no such byte).
 END_OF_WORD, MARK = "</w>", b"\xff"
 NEVER = 1 << 60
+#: Chunks with characters from here on, whose classes may differ between Unicode's versions, go to the tokenizer itself.
+SCRIPTS = "\u0530"
 #: Part-filled bins of all tasks that one task of the second round packs.
 TAILS_A_TASK = 50_000
 
@@ -167,7 +169,7 @@ class WordEncoder:
 
     def _chunk(self, chunk: bytes) -> bytes:
         text = chunk.decode()
-        if self.words is not None:
+        if self.words is not None and (text.isascii() or max(text) < SCRIPTS):
             if not text.isascii():
                 text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")  # the tokenizer lower-cases each character alone
             out = array("I")

@@ -28,7 +28,9 @@ _PATTERN = re.compile(
     |(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d))
     |(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))
     |(?P<card>(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d]))
-    |(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w])|(?<![\w.])\+\d{8,15}(?!\w))""",
+    |(?P<phone>(?<![\w.])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w)
+        |(?<![\w.])(?<!\d[ -])(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w]|[ -]\d)
+        |(?<![\w.])\+\d{8,15}(?!\w))""",
     re.VERBOSE,
 )
 _ANY = re.compile(r"[0-9@]|AKIA|ASIA|(?i:passw|pwd|token|secret|api.?key|access.?key)")
@@ -152,10 +154,13 @@ class Pseudonyms:
             account = p.text(plain[4:], "iban/" + plain[:2], (DIGITS, UPPER))
             return kind, _in_place(text, plain[:2] + iban_check(plain[:2], account) + account)
         if kind == "card":
-            if luhn(plain[:-1]) != plain[-1]:
-                return None
-            payload = p.text(plain[:-1], "card", (DIGITS,))
-            return kind, _in_place(text, payload + luhn(payload))
+            # Digits of another number may follow: the longest run of whole groups that is valid counts.
+            for end in [len(text), *(m.start() for m in reversed(list(re.finditer("[ -]", text))))]:
+                plain = "".join(c for c in text[:end] if c.isdigit())
+                if len(plain) >= 13 and luhn(plain[:-1]) == plain[-1]:
+                    payload = p.text(plain[:-1], "card", (DIGITS,))
+                    return kind, _in_place(text[:end], payload + luhn(payload)) + text[end:]
+            return None
         if kind == "ssn":
             area, group, serial = map(int, text.split("-"))
             if area in (0, 666) or area >= 900 or not group or not serial:

@@ -19,7 +19,9 @@ COMMON = 64
 #: A histogram of fewer characters or words than these says too little, and its rule passes.
 LEAST_CHARS, LEAST_WORDS = 220, 40
 #: Largest Jensen-Shannon distances (0 to 1) from the closest language that are kept.
-MOST_CHARS, MOST_WORDS = 0.29, 0.47
+MOST_CHARS, MOST_WORDS = 0.29, 0.42
+#: Added to the second, over the root of the number of words: a short histogram is far from any reference by chance.
+NOISE = 0.6
 
 #: Character classes: a class for each byte of UTF-8; bytes that continue a character count nowhere.
 CLASSES = ("lower", "upper", "digit", "space", "break", "punctuation", "symbol", "beyond ASCII", "control")
@@ -123,7 +125,7 @@ def rate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
 
     The references are counted over all documents that have a language; a document is held against each, so
     its own language column does not matter to its verdict. It is kept if it passes the base rules and lies
-    within ``most_chars`` and ``most_words`` of the language closest to it by words; a histogram of fewer than
+    within ``most_chars`` and ``most_words`` (and an allowance for few words) of the language closest to it by words; a histogram of fewer than
     ``least_chars`` characters or ``least_words`` words passes. Null texts have no words, so they
     fail the base rules; with no reference at all the base rules decide. The references that reach the
     driver are COMMON words and the classes for each language. Repeated rows get the same
@@ -149,7 +151,7 @@ def rate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
         word_chars = len(text) - sum(map(text.count, SPACES))
         failed = n < 20 or 100 * repeat > 30 * n
         chars, by_word = known.distances(class_counts(data), Counter(data.lower().split()), n) if n else (0.0, 0.0)
-        good = (len(text) < least_chars or chars <= most_chars) and (n < least_words or by_word <= most_words)
+        good = (len(text) < least_chars or chars <= most_chars) and (n < least_words or by_word <= most_words + NOISE / n**0.5)
         return n, word_chars, symbols, dup, repeat, failed, good and not failed, chars, by_word
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
