@@ -114,7 +114,9 @@ def test_signatures(monkeypatch):
     assert abs((mixed[0] == mixed[1]).mean() - 500 / 750) < 0.12
 
 
-def test_components_of_chains(spark):
+@pytest.mark.parametrize("a_task", [20, 500_000])
+def test_components_of_chains(spark, monkeypatch, a_task):
+    monkeypatch.setattr(near_dedup, "LINKS_A_TASK", a_task)
     chain = [(i + 1, i) for i in range(200)] + [(1000, 500), (500, 900)]
     found = near_dedup.components(spark.createDataFrame(chain, "a long, b long").repartition(6))
     assert {tuple(r) for r in found.collect()} == {(i, 0) for i in range(1, 201)} | {(900, 500), (1000, 500)}

@@ -22,6 +22,8 @@ ELEMENTS = 1 << 16
 #: Texts of so many documents at most are looked up by broadcasting their ids; more by a shuffled join.
 BROADCAST_IDS = 500_000
 WORDS_KEPT = 400_000
+#: Links that one task of union-find takes, at least: rounds between tasks are only for more.
+LINKS_A_TASK = 500_000
 
 _STEP = 0x9E3779B97F4A7C15
 _GOLDEN, _A, _B = np.uint64(_STEP), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -196,11 +198,12 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the least node of the connected component, for each node that is not the least itself.
 
-    Each task unions its own links and passes on its forest; forests are then joined in rounds that connect
+    Each task unions its own links (LINKS_A_TASK of them) and passes on its forest; forests are then joined in rounds that connect
     each node's larger neighbours and then its smaller ones to the least (large-star, small-star), until every
     node has one parent and no parent has one. Rounds are written to the shared folder.
     """
-    edges = written(links.mapInArrow(_forest, "a long, b long").distinct(), "forest")
+    few = max(1, links.count() // LINKS_A_TASK)
+    edges = written(links.coalesce(few).mapInArrow(_forest, "a long, b long").distinct(), "forest")
     while True:
         kids = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
         chained = edges.join(kids.select(F.col("a").alias("b")), "b", "left_semi")
