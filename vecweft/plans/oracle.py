@@ -34,7 +34,7 @@ SELECT q_id, (row_number() OVER (PARTITION BY q_id ORDER BY d, vec_id))::INT AS
   SELECT *, sum(new) OVER (PARTITION BY q_id ORDER BY d, vec_id) AS docs FROM (
     SELECT *, (row_number() OVER (PARTITION BY q_id, doc_id ORDER BY d, vec_id) = 1)::INT AS new FROM {PAIRS}))
 WHERE docs <= 3"""
-CENTROIDS = f"(SELECT (row_number() OVER (ORDER BY {KEY}, vec_id) - 1)::INT AS cid, embedding FROM embeddings QUALIFY cid < {M})"
+CENTROIDS = f"(SELECT cid, embedding FROM (SELECT (row_number() OVER (ORDER BY {KEY}, vec_id) - 1)::INT AS cid, embedding FROM embeddings) WHERE cid < {M})"
 NEAR = f"""(SELECT vec_id, cid, d, (row_number() OVER (PARTITION BY vec_id ORDER BY d, cid))::INT AS rank, e AS embedding
   FROM (SELECT b.vec_id, q.cid, {dist('l2')} AS d, b.embedding AS e FROM {CENTROIDS} q, embeddings b))"""
 OVERLAP = f"SELECT vec_id AS global_id, cid, rank, row_number() OVER (PARTITION BY cid ORDER BY vec_id) - 1 AS local_id FROM {NEAR} WHERE rank <= 2"
