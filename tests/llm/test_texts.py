@@ -300,6 +300,28 @@ def test_models_are_distributions():
     assert model.word("qqq") == pytest.approx(0, abs=1)
 
 
+def test_model_table_is_the_model(spark):
+    rng = random.Random(2)
+    letters = "".join(map(chr, range(0x4E00, 0x4E00 + 600)))
+    counts = {}
+    for _ in range(3000):
+        for g in toxicity.grams("".join(rng.choices(letters, k=4)) if rng.random() < 0.8 else rng.choice(WORDS["en"]), 5):
+            counts.setdefault(g, [0, 0])[rng.random() < 0.3] += 1
+    model = toxicity.Models(sorted((g, *n) for g, n in counts.items()))
+    table = toxicity.model_table(spark.createDataFrame([(g, *n) for g, n in counts.items()], "gram string, ordinary long, toxic long"), 5).collect()
+    assert {r["context"] + a["letter"]: a["seen"] / toxicity.UNIT for r in table for a in r["after"]} == pytest.approx(model.seen, abs=1e-8)
+    assert {r["context"]: r["backoff"] / toxicity.UNIT for r in table} == pytest.approx(model.backoff, abs=1e-8)
+
+
+def test_toxicity_keeps_its_order_at_every_size(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, prose(rng, "en", 30) + (" blurghish" if i % 4 == 0 else ""), None, None, None) for i in range(200)]
+    docs, table = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
+    want = {tuple(r) for r in toxicity.score(docs, table).collect()}
+    monkeypatch.setattr(toxicity, "MODEL_GRAMS", 50, raising=False)
+    assert {tuple(r) for r in toxicity.score(docs, table).collect()} == want
+
+
 # --- the pipeline
 
 def test_pipeline(spark, docs, corpus, tmp_path):

@@ -2,28 +2,33 @@
 
 from __future__ import annotations
 
-import heapq
 import math
+import pickle
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces_of, size_checked, slim, texts_of
+from .common import pieces_of, size_checked, slim, texts_of, written
 
 ORDER, DISCOUNT = 5, 0.75
-#: Grams of a model that is sent to the workers; an order that has more gives way to the next lower one.
-MODEL_GRAMS = 1_000_000
 #: Labels are joined by broadcasting up to so many rows.
 BROADCAST_LABELS = 2_000_000
 #: Added to a word's length before its log-likelihoods are compared, so that a few letters prove little.
 LENGTH_PRIOR = 12
 #: Words of a text that its score adds up: those most likely toxic.
 EXPRESSIONS = 3
-WORD_LETTERS, WORDS_KEPT = 64, 400_000
+WORD_LETTERS = 64
+#: A chunk of documents ends after so many of them or so many characters.
+CHUNK_DOCS, CHUNK_CHARS = 5000, 8_000_000
+#: Log-likelihood ratios are added up as whole multiples of 1 / UNIT, so that sums do not depend on their order.
+UNIT = 1 << 32
 #: Score of a text without words, before calibration.
 LOWEST = -1.0
 BINS, RIDGE = 200, 1e-3
@@ -107,23 +112,100 @@ class Models:
         return sum(self.seen[g] if g in self.seen else self.backoff.get(g[:-1], 0.0) for g in found) / (len(found) + LENGTH_PRIOR)
 
 
-def raw_scores(docs: DataFrame, models: Models, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, raw: the EXPRESSIONS largest differences over a text's words, added; columns named in ``carry`` follow (as int)."""
+def _parents(rows: DataFrame, length: int, *columns: str) -> DataFrame:
+    """``rows`` (gram, ...) of grams of ``length`` letters with ``total_c`` and ``types_c`` of their contexts, for each column c."""
+    same = Window.partitionBy(F.expr(f"substring(gram, 1, {length - 1})"))
+    return rows.select("*", *(f(c).over(same).alias(f"{name}_{c}") for c in columns for name, f in (("total", F.sum), ("types", lambda c: F.sum(F.expr(f"int({c} > 0)"))))))
+
+
+def model_table(counts: DataFrame, order: int) -> DataFrame:
+    """``Models`` as a table, however many grams there are: context, backoff, after (letter, seen), in units of 1 / UNIT."""
+    levels = {order: counts}
+    for length in range(order - 1, 0, -1):
+        levels[length] = levels[length + 1].groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n"))
+    letters = levels[1].agg(F.sum("n").alias("total_n"), F.count("*").alias("types_n"))
+    shared = levels[1].crossJoin(F.broadcast(letters)).withColumn("low", 1 / F.col("types_n"))
+    for length in range(1, order):
+        if length > 1:
+            shared = _parents(levels[length], length, "n").withColumn("suffix", F.expr("substring(gram, 2)")).join(shared, "suffix")
+        shared = shared.select(F.col("gram").alias("suffix"), ((F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("types_n") * F.col("low")) / F.col("total_n")).alias("low"))
+    both = ("ordinary", "toxic")
+    top = _parents(counts, order, *both).withColumn("suffix", F.expr("substring(gram, 2)")).join(shared, "suffix")
+    p = {c: F.when(F.col(f"total_{c}") > 0, (F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(f"types_{c}") * F.col("low")) / F.col(f"total_{c}")).otherwise(F.col("low")) for c in both}
+    weight = {c: F.when(F.col(f"total_{c}") > 0, DISCOUNT * F.col(f"types_{c}") / F.col(f"total_{c}")).otherwise(1.0) for c in both}
+    ratio = lambda of: F.round(F.log(of["toxic"] / of["ordinary"]) * UNIT).cast("long")
+    rows = top.select(F.expr(f"substring(gram, 1, {order - 1})").alias("context"), F.expr(f"substring(gram, {order})").alias("letter"), ratio(p).alias("seen"), ratio(weight).alias("backoff"))
+    return rows.groupBy("context").agg(F.first("backoff").alias("backoff"), F.collect_list(F.struct("letter", "seen")).alias("after"))
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[str]]]:
+    ids, texts, size = [], [], 0
+    for batch in pieces_of(batches, CHUNK_DOCS):
+        for i, text in zip(batch.column("doc_id").cast(pa.int64()).to_pylist(), texts_of(batch), strict=True):
+            ids.append(i)
+            texts.append(text)
+            size += len(text)
+            if len(ids) == CHUNK_DOCS or size >= CHUNK_CHARS:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
+
+
+def chunked(docs: DataFrame, order: int) -> DataFrame:
+    """chunk, context, words: each context of letters in a chunk of documents once, and a row without context with the chunk's words.
+
+    ``words`` has the ids, the distinct words, and of each the documents and how often they have it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, float] = {}
-        for batch in pieces_of(batches, 1000):
-            out = []
-            for text in texts_of(batch):
-                words = set(_WORDS.findall(text.lower()))
-                if len(known) > WORDS_KEPT:
-                    known.clear()
-                for word in words.difference(known):
-                    known[word] = models.word(word)
-                out.append(sum(heapq.nlargest(EXPRESSIONS, map(known.__getitem__, words))) if words else LOWEST)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(out, pa.float64()), *(batch.column(c).cast(pa.int32()) for c in carry)], ["doc_id", "raw", *carry])
-
-    return docs.select("doc_id", "text", *carry).mapInArrow(run, "doc_id long, raw double" + "".join(f", {c} int" for c in carry))
+        for n, (ids, texts) in enumerate(_chunks(batches)):
+            place: dict[str, int] = {}
+            found, size = [], []
+            for text in texts:
+                words = _WORDS.findall(text.lower())
+                found.append(np.array([place.setdefault(w, len(place)) for w in words], np.int64))
+                size.append(len(words))
+            pairs, times = np.unique(np.concatenate(found) * CHUNK_DOCS + np.repeat(np.arange(len(ids)), size), return_counts=True)
+            contexts = list({g[:-1] for word in place for g in grams(word, order)})
+            packed = zlib.compress(pickle.dumps((ids, list(place), np.diff(pairs, prepend=0).astype(np.uint32), times.astype(np.uint32))), 1)
+            rows = len(contexts) + 1
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() << 32 | n] * rows, pa.int64()), pa.array([None, *contexts], pa.string()), pa.array([packed] + [None] * (rows - 1), pa.binary())], ["chunk", "context", "words"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "chunk long, context string, words binary")
+
+
+def raw_scores(docs: DataFrame, counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """doc_id, raw: the EXPRESSIONS largest differences of log-likelihoods, by length, over a text's words, added.
+
+    No process holds the model: each chunk of documents meets, by a join, what the model knows of its own contexts.
+    """
+    found = written(chunked(docs, order), "chunks")
+    known = found.where("context is not null").select(F.col("chunk").alias("of_chunk"), "context").join(model_table(counts, order), "context")
+
+    def run(chunk: pa.Table, known: pa.Table) -> pa.Table:
+        if not chunk.num_rows:
+            return pa.table({"doc_id": pa.array([], pa.int64()), "raw": pa.array([], pa.float64())})
+        ids, words, pairs, times = pickle.loads(zlib.decompress(chunk.column("words")[0].as_py()))
+        place, where = np.divmod(np.cumsum(pairs.astype(np.int64)), CHUNK_DOCS)
+        contexts, after = known.column("context").to_pylist(), known.column("after").combine_chunks()
+        backoff = dict(zip(contexts, known.column("backoff").to_pylist(), strict=True))
+        letters = after.flatten()
+        follows = np.repeat(np.arange(len(contexts)), np.diff(after.offsets.to_numpy()) if len(contexts) else 0).tolist()
+        seen = {contexts[i] + letter: value for i, letter, value in zip(follows, letters.field("letter").to_pylist(), letters.field("seen").to_pylist(), strict=True)}
+        ratio, size = np.empty(len(words)), np.empty(len(words))
+        for i, word in enumerate(words):
+            found = grams(word, order)
+            ratio[i], size[i] = sum([seen[g] if g in seen else backoff.get(g[:-1], 0) for g in found]), len(found)
+        by_length = (ratio / UNIT / (size + LENGTH_PRIOR))[place]
+        best = np.lexsort((-by_length, where))
+        n = np.bincount(where, minlength=len(ids))
+        rank = np.arange(len(best)) - np.repeat(np.cumsum(n) - n, n)
+        top = best[rank < EXPRESSIONS]
+        raw = np.where(n > 0, np.bincount(where[top], by_length[top], len(ids)), LOWEST)
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "raw": raw})
+
+    return found.where("context is null").select("chunk", "words").groupBy("chunk").cogroup(known.groupBy("of_chunk")).applyInArrow(run, "doc_id long, raw double")
 
 
 def calibrate(binned: list[tuple[float, float, float]]) -> tuple[float, float]:
@@ -164,15 +246,10 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = size_checked(known.distinct(), BROADCAST_LABELS)
     labelled = docs.join(known, "doc_id")
     part = fold(F.col("doc_id"))
-    counts = gram_counts(labelled.where(part < 4), order)
-    rows = counts.limit(MODEL_GRAMS + 1).collect()
-    while len(rows) > MODEL_GRAMS and order > 2:
-        order -= 1
-        counts = counts.groupBy(F.expr(f"right(gram, {order})").alias("gram")).agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-        rows = counts.limit(MODEL_GRAMS + 1).collect()
-    models = Models(sorted(map(tuple, rows)))
-    bins = raw_scores(labelled.where(part == 4), models, ("toxic",)).groupBy(F.floor(F.col("raw") * BINS).alias("bin")).agg(F.sum(1 - F.col("toxic")).alias("ordinary"), F.sum("toxic").alias("toxic"))
+    counts = written(gram_counts(labelled.where(part < 4), order), "grams")
+    raw = written(raw_scores(docs, counts, order), "raw")
+    bins = raw.join(known, "doc_id").where(part == 4).groupBy(F.floor(F.col("raw") * BINS).alias("bin")).agg(F.sum(1 - F.col("toxic")).alias("ordinary"), F.sum("toxic").alias("toxic"))
     slope, offset = calibrate([((r["bin"] + 0.5) / BINS, r["ordinary"], r["toxic"]) for r in bins.orderBy("bin").collect()])
     likely = 1 / (1 + F.exp(-(F.col("raw") * F.lit(slope) + F.lit(offset))))
-    scored = raw_scores(docs, models).withColumn("score", likely)
+    scored = raw.withColumn("score", likely)
     return scored.select("doc_id", (part == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
