@@ -322,6 +322,24 @@ def test_toxicity_keeps_its_order_at_every_size(spark, monkeypatch):
     assert {tuple(r) for r in toxicity.score(docs, table).collect()} == want
 
 
+def test_evidence_is_of_the_whole_text(spark):
+    rng = random.Random(6)
+    stems = ["zurgl", "vronk", "plixt", "thwumb", "gnarv"]
+    odd_word = lambda: rng.choice(stems) + "".join(rng.choices("aeioulnrst", k=3))
+    ordinary = [(i, 0, prose(rng, "en", 60)) for i in range(0, 160, 2)]
+    toxic = [(i, 1, prose(rng, "en", 40) + " " + " ".join(odd_word() for _ in range(12))) for i in range(1, 160, 2)]
+    taught = spark.createDataFrame([(t, k) for _, k, t in ordinary + toxic], "text string, toxic int")
+    texts = ["zurglaei " * 3 + "the of and " * 30, "zurglaei vronkson plixtatu " * 30 + "the of and ", "zurglaei vronkson plixtatu " + "the of and ", None]
+    found = {r["doc_id"]: r for r in toxicity.evidence(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), toxicity.gram_counts(taught, 5)).collect()}
+    assert found[1]["local"] == pytest.approx(found[2]["local"]) and found[1]["whole"] > found[2]["whole"] and found[1]["share"] > found[2]["share"] > found[0]["share"]
+    model = toxicity.Models(sorted(map(tuple, toxicity.gram_counts(taught, 5).collect())))
+    words = texts[0].split()
+    sizes = [len(toxicity.grams(w, 5)) for w in words]
+    sums = [model.word(w) * (n + toxicity.LENGTH_PRIOR) for w, n in zip(words, sizes)]
+    assert found[0]["whole"] == pytest.approx(sum(sums) / (sum(sizes) + toxicity.LENGTH_PRIOR), abs=1e-7)
+    assert found[3]["local"] is found[3]["whole"] is found[3]["share"] is None
+
+
 # --- the pipeline
 
 def test_pipeline(spark, docs, corpus, tmp_path):

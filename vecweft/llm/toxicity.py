@@ -22,16 +22,18 @@ ORDER, DISCOUNT = 5, 0.75
 BROADCAST_LABELS = 2_000_000
 #: Added to a word's length before its log-likelihoods are compared, so that a few letters prove little.
 LENGTH_PRIOR = 12
-#: Words of a text that its score adds up: those most likely toxic.
+#: Words of a text that its local evidence adds up: those most likely toxic.
 EXPRESSIONS = 3
+#: Words with a larger difference by length count as likely toxic in a text's share of them.
+LIKELY = 0.15
 WORD_LETTERS = 64
 #: A chunk of documents ends after so many of them or so many characters.
 CHUNK_DOCS, CHUNK_CHARS = 5000, 8_000_000
 #: Log-likelihood ratios are added up as whole multiples of 1 / UNIT, so that sums do not depend on their order.
 UNIT = 1 << 32
-#: Score of a text without words, before calibration.
-LOWEST = -1.0
-BINS, RIDGE = 200, 1e-3
+#: What a score is made of, and in how many bins a unit of it is cut for the calibration.
+EVIDENCE = {"local": 200, "whole": 1000, "share": 500}
+RIDGE = 1e-3
 
 _WORDS = re.compile(r"[^\W\d_]+")
 START, END = "\x02", "\x03"
@@ -175,8 +177,12 @@ def chunked(docs: DataFrame, order: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "chunk long, context string, words binary")
 
 
-def raw_scores(docs: DataFrame, counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """doc_id, raw: the EXPRESSIONS largest differences of log-likelihoods, by length, over a text's words, added.
+def evidence(docs: DataFrame, counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """doc_id and EVIDENCE, which is null for a text without words.
+
+    local: the EXPRESSIONS largest differences of log-likelihoods, by length, over a text's words, added;
+    whole: the difference for the whole text, each occurrence of each word, by its length; share: of all
+    occurrences of words, those with a difference above LIKELY.
 
     No process holds the model: each chunk of documents meets, by a join, what the model knows of its own contexts.
     """
@@ -185,7 +191,7 @@ def raw_scores(docs: DataFrame, counts: DataFrame, order: int = ORDER) -> DataFr
 
     def run(chunk: pa.Table, known: pa.Table) -> pa.Table:
         if not chunk.num_rows:
-            return pa.table({"doc_id": pa.array([], pa.int64()), "raw": pa.array([], pa.float64())})
+            return pa.table({"doc_id": pa.array([], pa.int64()), **{c: pa.array([], pa.float64()) for c in EVIDENCE}})
         ids, words, pairs, times = pickle.loads(zlib.decompress(chunk.column("words")[0].as_py()))
         place, where = np.divmod(np.cumsum(pairs.astype(np.int64)), CHUNK_DOCS)
         contexts, after = known.column("context").to_pylist(), known.column("after").combine_chunks()
@@ -202,42 +208,52 @@ def raw_scores(docs: DataFrame, counts: DataFrame, order: int = ORDER) -> DataFr
         n = np.bincount(where, minlength=len(ids))
         rank = np.arange(len(best)) - np.repeat(np.cumsum(n) - n, n)
         top = best[rank < EXPRESSIONS]
-        raw = np.where(n > 0, np.bincount(where[top], by_length[top], len(ids)), LOWEST)
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "raw": raw})
-
-    return found.where("context is null").select("chunk", "words").groupBy("chunk").cogroup(known.groupBy("of_chunk")).applyInArrow(run, "doc_id long, raw double")
-
-
-def calibrate(binned: list[tuple[float, float, float]]) -> tuple[float, float]:
-    """Slope and offset of a logistic curve for rows (score, ordinary, toxic)."""
-    weight = [sum(r[1 + k] for r in binned) for k in (0, 1)]
-    if not all(weight):
-        return 10.0, -10.0 * max((r[0] for r in binned), default=0.5) - 1.0
-    slope, offset, both = 1.0, 0.0, sum(weight)
-    for _ in range(50):
-        g0 = g1 = h01 = 0.0
-        g1, h11, h00 = -RIDGE * slope, RIDGE, 1e-9
-        for score, *n in binned:
-            q = 1 / (1 + math.exp(-max(-60, min(60, slope * score + offset))))
-            for k in (0, 1):
-                w = n[k] / both
-                g0, g1 = g0 + w * (k - q), g1 + w * (k - q) * score
-                h00, h01, h11 = h00 + w * q * (1 - q), h01 + w * q * (1 - q) * score, h11 + w * q * (1 - q) * score * score
-        det = h00 * h11 - h01 * h01
-        if det <= 1e-15:
-            break
-        a, b = (h00 * g1 - h01 * g0) / det, (h11 * g0 - h01 * g1) / det
-        slope, offset = slope + max(-5, min(5, a)), offset + max(-5, min(5, b))
-    return slope, offset
+        added = lambda values: np.bincount(where, times * values, len(ids))
+        columns = {
+            "local": np.bincount(where[top], by_length[top], len(ids)),
+            "whole": added(ratio[place]) / UNIT / (added(size[place]) + LENGTH_PRIOR),
+            "share": added(by_length > LIKELY) / (added(1) + LENGTH_PRIOR),
+        }
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), **{c: pa.array(v, pa.float64(), mask=n == 0) for c, v in columns.items()}})
+
+    return found.where("context is null").select("chunk", "words").groupBy("chunk").cogroup(known.groupBy("of_chunk")).applyInArrow(run, "doc_id long, " + ", ".join(f"{c} double" for c in EVIDENCE))
+
+
+def calibrate(binned: list[tuple[float, ...]]) -> tuple[list[float], float]:
+    """Slopes and offset of a logistic curve for rows (*evidence, ordinary, toxic). Evidence with a negative slope is left out."""
+    rows = np.array(binned, float).reshape(-1, len(EVIDENCE) + 2)
+    x, n = rows[:, : len(EVIDENCE)], rows[:, len(EVIDENCE) :]
+    slopes = np.zeros(len(EVIDENCE))
+    if not n.sum(0).all():
+        slopes[0] = 10.0
+        return slopes.tolist(), -10.0 * x[:, 0].max(initial=0.0) - 1.0
+    used = list(range(len(EVIDENCE)))
+    weight = n.sum(1) / n.sum()
+    while used:
+        mean = weight @ x[:, used]
+        spread = np.sqrt(weight @ (x[:, used] - mean) ** 2) + 1e-9
+        z = np.c_[(x[:, used] - mean) / spread, np.ones(len(x))]
+        ridge = np.array([RIDGE] * len(used) + [1e-9])
+        b = np.zeros(len(used) + 1)
+        for _ in range(60):
+            q = 1 / (1 + np.exp(-np.clip(z @ b, -60, 60)))
+            hessian = (z * (weight * q * (1 - q))[:, None]).T @ z + np.diag(ridge)
+            b += np.clip(np.linalg.solve(hessian, z.T @ (n[:, 1] / n.sum() - weight * q) - ridge * b), -5, 5)
+        if (b[:-1] >= 0).all():
+            slopes[used] = b[:-1] / spread
+            return slopes.tolist(), float(b[-1] - slopes[used] @ mean)
+        used.pop(int(np.argmin(b[:-1])))
+    return slopes.tolist(), math.log(n[:, 1].sum() / n[:, 0].sum())
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
     Models and calibration learn from all labelled documents that are not held out, each row once; labels
-    other than 0 and 1 teach nothing. A text's score adds up the few words whose length-normalised toxic
-    log-likelihoods exceed the ordinary ones most, since a long text may be toxic by one expression. Null
-    and empty texts, and texts without letters, get the lowest score. If a class has no labelled document,
+    other than 0 and 1 teach nothing. A score weighs the few words whose length-normalised toxic
+    log-likelihoods exceed the ordinary ones most, since a long text may be toxic by one expression, the
+    length-normalised likelihoods of the whole text, and the share of its words that are likely toxic. Null
+    and empty texts, and texts without letters, get the lowest score, 0. If a class has no labelled document,
     nothing is predicted toxic. A null id has no label. Repeated rows get the same answer each; other columns
     are ignored.
     """
@@ -247,9 +263,11 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     labelled = docs.join(known, "doc_id")
     part = fold(F.col("doc_id"))
     counts = written(gram_counts(labelled.where(part < 4), order), "grams")
-    raw = written(raw_scores(docs, counts, order), "raw")
-    bins = raw.join(known, "doc_id").where(part == 4).groupBy(F.floor(F.col("raw") * BINS).alias("bin")).agg(F.sum(1 - F.col("toxic")).alias("ordinary"), F.sum("toxic").alias("toxic"))
-    slope, offset = calibrate([((r["bin"] + 0.5) / BINS, r["ordinary"], r["toxic"]) for r in bins.orderBy("bin").collect()])
-    likely = 1 / (1 + F.exp(-(F.col("raw") * F.lit(slope) + F.lit(offset))))
-    scored = raw.withColumn("score", likely)
+    found = written(evidence(docs, counts, order), "evidence")
+    bins = found.join(known, "doc_id").where((part == 4) & F.col("local").isNotNull()).groupBy(*(F.floor(F.col(c) * n).alias(c) for c, n in EVIDENCE.items())).agg(F.sum(1 - F.col("toxic")).alias("ordinary"), F.sum("toxic").alias("toxic"))
+    slopes, offset = calibrate([(*((r[c] + 0.5) / n for c, n in EVIDENCE.items()), r["ordinary"], r["toxic"]) for r in bins.orderBy(*EVIDENCE).collect()])
+    curve = F.lit(offset)
+    for c, slope in zip(EVIDENCE, slopes, strict=True):
+        curve += F.col(c) * F.lit(slope)
+    scored = found.withColumn("score", F.coalesce(1 / (1 + F.exp(-curve)), F.lit(0.0)))
     return scored.select("doc_id", (part == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
