@@ -340,6 +340,17 @@ def test_evidence_is_of_the_whole_text(spark):
     assert found[3]["local"] is found[3]["whole"] is found[3]["share"] is None
 
 
+def test_runs_of_letters_are_read_to_their_end(spark):
+    rng = random.Random(8)
+    run = lambda n: "".join(map(chr, rng.choices(range(0x4E00, 0x4E40), k=n)))
+    bad = "\u5f00\u5f01\u5f02\u5f03\u5f04\u5f05"
+    rows = [(i, run(80) + (bad * 4 if i % 3 == 0 else "") + run(10), None, None, None) for i in range(240)]
+    docs, table = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(240)], "doc_id long, quality int, toxic int")
+    out = [r for r in toxicity.score(docs, table).collect() if r["held_out"]]
+    assert sum(r["predicted"] == (r["doc_id"] % 3 == 0) for r in out) >= 0.97 * len(out)
+    assert len(toxicity.grams("a" * 1000, 5)) == 1001
+
+
 # --- the pipeline
 
 def test_pipeline(spark, docs, corpus, tmp_path):

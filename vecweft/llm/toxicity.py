@@ -26,7 +26,6 @@ LENGTH_PRIOR = 12
 EXPRESSIONS = 3
 #: Words with a larger difference by length count as likely toxic in a text's share of them.
 LIKELY = 0.15
-WORD_LETTERS = 64
 #: A chunk of documents ends after so many of them or so many characters.
 CHUNK_DOCS, CHUNK_CHARS = 5000, 8_000_000
 #: Log-likelihood ratios are added up as whole multiples of 1 / UNIT, so that sums do not depend on their order.
@@ -45,7 +44,7 @@ def fold(id_col: Column) -> Column:
 
 
 def grams(word: str, order: int) -> list[str]:
-    s = START * (order - 1) + word[:WORD_LETTERS] + END
+    s = START * (order - 1) + word + END
     return [s[i : i + order] for i in range(len(s) - order + 1)]
 
 
