@@ -351,6 +351,19 @@ def test_runs_of_letters_are_read_to_their_end(spark):
     assert len(toxicity.grams("a" * 1000, 5)) == 1001
 
 
+def test_every_fold_but_the_held_out_teaches(spark):
+    rng = random.Random(10)
+    folds = {i: zlib.crc32(str(i).encode()) % 5 for i in range(500)}
+    rows = []
+    for i, part in folds.items():
+        extra = ["blurghish"] * (i % 4 == 0) + ["zwomkovitch"] * (part in (0, 4) and i % 4 == 1)
+        rows.append((i, " ".join([*prose(rng, "en", 30).split(), *extra]), None, None, None))
+    docs, table = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(i, 1, int(i % 4 < 2 and (i % 4 == 0 or folds[i] in (0, 4)))) for i in folds], "doc_id long, quality int, toxic int")
+    found = [r for r in toxicity.score(docs, table).collect() if r["held_out"]]
+    only_in_last = [r for r in found if r["doc_id"] % 4 == 1]
+    assert only_in_last and sum(r["predicted"] for r in only_in_last) >= 0.9 * len(only_in_last)
+
+
 # --- the pipeline
 
 def test_pipeline(spark, docs, corpus, tmp_path):
