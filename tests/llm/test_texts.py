@@ -364,6 +364,16 @@ def test_every_fold_but_the_held_out_teaches(spark):
     assert only_in_last and sum(r["predicted"] for r in only_in_last) >= 0.9 * len(only_in_last)
 
 
+def test_ibans_end_before_other_groups():
+    pseudonyms = pii.Pseudonyms(pii.KEY)
+    for iban, after in (("ES91 2100 0418 4502 0005 1332", " BIC"), ("AT611904300234573201", " 2024"), ("ES91 2100 0418 4502 0005 1332", " AT611904300234573201")):
+        new, spans = pseudonyms.rewrite(f"to {iban}{after} now")
+        assert iban not in new and "AT611904300234573201" not in new and spans[0] == ("iban", 3, 3 + len(iban))
+        plain = new[3 : 3 + len(iban)].replace(" ", "")
+        assert pii.iban_check(plain[:2], plain[4:]) == plain[2:4]
+        assert after[1:3] == "AT" or new.endswith(after + " now")
+
+
 # --- the pipeline
 
 def test_pipeline(spark, docs, corpus, tmp_path):

@@ -184,6 +184,13 @@ class Pseudonyms:
         start = 0
         while match := _PATTERN.search(text, start):
             found = self.replace(match)
+            if found is None and match.lastgroup == "iban":
+                # Groups of other text may follow: the longest run of whole groups that is valid counts.
+                for gap in reversed(list(re.finditer(" ", match[0]))):
+                    shorter = _PATTERN.match(text, match.start(), match.start() + gap.start())
+                    if shorter and shorter.lastgroup == "iban" and (found := self.replace(shorter)):
+                        match = shorter
+                        break
             if found is None:
                 start = match.start() + 1
                 while start < len(text) and text[start].isdigit() and text[start - 1].isdigit():
