@@ -7,10 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces_of, slim, texts_of, written
+from .common import pieces_of, size_checked, slim, texts_of, written
 
 #: 32 bands of 4 ranks: a pair of Jaccard similarity 0.8 shares no band once in 20 million.
 BANDS, ROWS = 32, 4
@@ -21,9 +21,17 @@ SALTS = 32
 ELEMENTS = 1 << 16
 #: Texts of so many documents at most are looked up by broadcasting their ids; more by a shuffled join.
 BROADCAST_IDS = 500_000
-WORDS_KEPT = 400_000
+WORDS_KEPT = 200_000
 #: Links that one task of union-find takes, at least: rounds between tasks are only for more.
 LINKS_A_TASK = 500_000
+#: Pairs with one node that a task of the verification takes; more are dealt over several.
+PAIRS_A_TASK = 5000
+#: Shingles of a block of a band's members, each member counting ROW_COST more.
+BLOCK, ROW_COST = 400_000, 64
+#: Words of 64 bits that bound the intersection of two sets; the second for sets of more than 8 shingles a word of the first.
+FEW_WORDS, MANY_WORDS = 64, 1024
+#: Rows that a task gathers before it compares them, and pairs that it looks at together.
+ROWS_AT_ONCE, PAIRS_AT_ONCE = 2000, 1 << 19
 
 _STEP = 0x9E3779B97F4A7C15
 _GOLDEN, _A, _B = np.uint64(_STEP), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -118,12 +126,12 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, set_id (128-bit hash of the set) and bands of each document."""
+    """doc_id, text_hash, n_shingles, set_id (128-bit hash of the set), salt and bands of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        shingles = Shingler(words)
+        shingles, row = Shingler(words), 0
         for batch in pieces_of(batches, 400):
             sets = [shingles(t) for t in texts_of(batch)]
             there = [s for s in sets if len(s)]
@@ -131,44 +139,61 @@ def sketch(docs: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").cast(pa.int64()),
+                    batch.column("text_hash"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+                    pa.array(np.arange(row, row + len(sets)) % SALTS, pa.int64()),
                     pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n_shingles", "set_id", "bands"],
+                ["doc_id", "text_hash", "n_shingles", "set_id", "salt", "bands"],
             )
+            row += len(sets)
+
+    return hashed(docs).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_id binary, salt long, bands array<long>")
+
+
+def hashed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id binary, bands array<long>")
+def texts_at(nodes: DataFrame, places: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text): the text that stands for each node, whose row is found by id and hash of the text."""
+    wanted = places.join(nodes.select("node").distinct(), "node", "left_semi").select("node", F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"))
+    wanted = size_checked(wanted, BROADCAST_IDS)
+    found = hashed(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash")))
+    return found.select("node", "text").dropDuplicates(["node"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose whole shingle sets have 100 * intersection >= percent * union."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    few = ids.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+def verified(pairs: DataFrame, places: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose whole sets of shingles, as words, have 100 * intersection >= percent * union.
+
+    A node in many pairs is dealt over tasks, a copy of its text to each.
+    """
+    texts = texts_at(pairs.select(F.explode(F.array("a", "b")).alias("node")), places, docs)
+    counts = pairs.groupBy("b").agg(F.expr(f"int(ceil(count(1) / {PAIRS_A_TASK}))").alias("deals"))
+    dealt = pairs.join(counts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("deals")).alias("deal"))
+    right = texts.withColumnRenamed("node", "b").join(counts, "b").select("b", F.col("text").alias("text_b"), F.explode(F.expr("sequence(0L, deals - 1L)")).alias("deal"))
+    both = texts.toDF("a", "text_a").join(dealt, "a").join(right, ["b", "deal"]).select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, recent = Shingler(words), OrderedDict()
+        recent: OrderedDict[int, set] = OrderedDict()
+
+        def of(text: str) -> set:
+            w = text.encode().lower().split()
+            return set(zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else {tuple(w)}
 
-        def of(doc_id: int, text: str) -> np.ndarray:
-            found = recent.pop(doc_id, None)
-            recent[doc_id] = found = shingles(text) if found is None else found
-            if len(recent) > 64:
+        def kept(node: int, text: str) -> set:
+            found = recent.pop(node, None)
+            recent[node] = found = of(text) if found is None else found
+            if len(recent) > 16:
                 recent.popitem(last=False)
             return found
 
         for batch in pieces_of(batches, 500):
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             linked = []
-            for x, y, s, t in zip(a, b, texts_of(batch, "text_a"), texts_of(batch, "text_b"), strict=True):
-                p, q = shingles(s), of(y, t)
-                if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
-                    linked.append(False)
-                    continue
-                both = np.concatenate((p, q))
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
+            for y, s, t in zip(batch.column("b").to_pylist(), texts_of(batch, "text_a"), texts_of(batch, "text_b"), strict=True):
+                p, q = of(s), kept(y, t)
+                common = len(p & q) if 100 * min(len(p), len(q)) >= percent * max(len(p), len(q)) else 0
                 linked.append(100 * common >= percent * (len(p) + len(q) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
@@ -218,92 +243,234 @@ def components(links: DataFrame) -> DataFrame:
         edges = written(small.distinct(), "small")
 
 
-def across(members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of members (rep, component, n_shingles) in different components that may be linked: all that are, few others.
+class Cells:
+    """Compares the rows of cells: each left one with each right one of another component. Yields links that join components.
+
+    A pair that meets in several cells is compared in the one of the least band. Bits of both sets, each shingle's set by its hash,
+    bound the intersection from above: a bit that only one set has stands for a shingle, at least, that the other lacks. Pairs
+    that pass are compared shingle by shingle, unless links found before join their components already.
+    """
+
+    def __init__(self, percent: int):
+        self.percent, self.parent = percent, {}
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    @staticmethod
+    def bits(sets: list[np.ndarray], words: int) -> np.ndarray:
+        """Rows of ``words`` 64-bit words."""
+        out = np.zeros((len(sets), words * 8), np.uint8)
+        for at in range(0, len(sets), 512):
+            part = sets[at : at + 512]
+            marks = np.zeros((len(part), words * 64), bool)
+            marks[np.repeat(np.arange(len(part)), [len(s) for s in part]), (np.concatenate(part) & np.uint64(words * 64 - 1)).astype(np.int64)] = True
+            out[at : at + 512] = np.packbits(marks, axis=1)
+        return out.view(np.uint64)
+
+    def similar(self, least: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return 100 * least >= self.percent * (a + b - least)
+
+    def bounded(self, bits: np.ndarray, size: np.ndarray, l: np.ndarray, r: np.ndarray) -> np.ndarray:  # noqa: E741
+        """Which pairs may be similar enough."""
+        fine = []
+        for at in range(0, len(l), 1 << 14):
+            i, j = l[at : at + (1 << 14)], r[at : at + (1 << 14)]
+            x, y = bits[i], bits[j]
+            only_x, only_y = (np.bitwise_count(d).sum(1, dtype=np.int64) for d in (x & ~y, y & ~x))
+            fine.append(self.similar(np.minimum(size[i] - only_x, size[j] - only_y), size[i], size[j]))
+        return np.concatenate(fine) if fine else np.zeros(0, bool)
+
+    def links(self, cell: np.ndarray, place: np.ndarray, node: np.ndarray, component: np.ndarray, left: np.ndarray, right: np.ndarray, bands: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        """Rows are sorted by ``cell``; ``place`` is the number of the cell's band, ``bands`` has the row's keys by that number, 0 for none."""
+        size = np.array([len(s) for s in sets], np.int64)
+        few = self.bits(sets, FEW_WORDS)
+        large = np.flatnonzero(size > FEW_WORDS * 8)
+        many, at_many = self.bits([sets[i] for i in large], MANY_WORDS) if len(large) else None, np.zeros(len(sets), np.int64)
+        at_many[large] = np.arange(len(large))
+        rights = np.flatnonzero(right)
+        start, stop = np.searchsorted(cell[rights], cell, "left"), np.searchsorted(cell[rights], cell, "right")
+        lefts = np.flatnonzero(left)
+        ends = np.cumsum(stop[lefts] - start[lefts])
+        at = 0
+        while at < len(lefts):
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + PAIRS_AT_ONCE, "right")))
+            own = lefts[at:to]
+            n = stop[own] - start[own]
+            l = np.repeat(own, n)  # noqa: E741
+            r = rights[np.arange(len(l)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[own], n)]
+            at = to
+            good = (component[l] != component[r]) & (~left[r] | (node[l] < node[r])) & (100 * np.minimum(size[l], size[r]) >= self.percent * np.maximum(size[l], size[r]))
+            l, r = l[good], r[good]  # noqa: E741
+            for k in range(int(place.max(initial=0))):
+                if not len(l):
+                    break
+                apart = (bands[l, k] != bands[r, k]) | (bands[l, k] == 0) | (k >= place[l])
+                l, r = l[apart], r[apart]  # noqa: E741
+            fine = self.bounded(few, size, l, r)
+            l, r = l[fine], r[fine]  # noqa: E741
+            if many is not None and len(l):
+                both = (size[l] > FEW_WORDS * 8) & (size[r] > FEW_WORDS * 8)
+                fine = ~both
+                fine[both] = self.bounded(many, size[large], at_many[l[both]], at_many[r[both]])
+                l, r = l[fine], r[fine]  # noqa: E741
+            for i, j in zip(l.tolist(), r.tolist(), strict=True):
+                x, y = self.root(int(component[i])), self.root(int(component[j]))
+                if x == y:
+                    continue
+                both = np.concatenate((sets[i], sets[j]))
+                both.sort()
+                if self.similar((both[1:] == both[:-1]).sum(), size[i], size[j]):
+                    self.parent[max(x, y)] = min(x, y)
+                    yield int(max(node[i], node[j])), int(min(node[i], node[j]))
+
+
+CELL = "band long, u int, v int, place int, node long, component long, minor boolean, asks boolean, bands array<struct<place:int, band:long>>, shingles binary"
+
+
+def cells(members: DataFrame, places: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """Rows of CELL: the members (band, place, node, component, main, u_blocks, v_blocks) of mixed bands with their sets.
 
-    A set that is similar enough to another shares with it one of its n - ceil(percent % of n) + 1 first shingles, in any
-    order that is the same for all sets. In the order used, rare shingles come first, so sets which have
-    little but a frequent passage in common do not meet; and a shared shingle counts only if enough shingles follow it
-    in both. Shingles that only one member has make no pair; they are counted, but not dealt any further.
+    A band's largest component, the main one, need only meet the others; these meet all. So the others are dealt
+    over ``u_blocks`` as those who ask, all members over ``v_blocks`` as those who are asked, and each pair of blocks is
+    a cell of bounded size: what is copied grows with the members times the blocks of the others.
     """
-    few = members.count() <= BROADCAST_IDS
-    ids = members.select(F.col("rep").alias("doc_id"))
-    texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    own = members.groupBy("node").agg(F.first("component").alias("component"), F.collect_list(F.struct("place", "band", "main", "u_blocks", "v_blocks")).alias("own"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(words)
         for batch in pieces_of(batches, 100):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
-                found = shingles(text).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), doc_id, np.int64))], ["shingle", "rep"])
-
-    rows = texts.mapInArrow(run, "shingle long, rep long")
-    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = rows.join(often, "shingle").join(members, "rep")
-    mine = Window.partitionBy("rep")
-    place, common = F.row_number().over(mine.orderBy("n", "shingle")), F.count(F.lit(1)).over(mine)
-    first = F.expr(f"n_shingles - ceil({percent} * n_shingles / 100) + 1")
-    heads = shared.withColumn("place", place + F.col("n_shingles") - common).where(F.col("place") <= first)
-    heads = written(heads.select("shingle", "place", "rep", "component", "n_shingles"), "heads")
-    x, y = heads.alias("x"), heads.alias("y")
-    # If this is the first shingle that both have, only what follows it in both can be common too.
-    close = F.expr(f"(1 + least(x.n_shingles - x.place, y.n_shingles - y.place)) * {100 + percent} >= {percent} * (x.n_shingles + y.n_shingles)")
-    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") < F.col("y.component")) & close)
-    return pairs.select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct()
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([shingles(t).tobytes() for t in texts_of(batch)], pa.binary())], ["node", "shingles"])
 
+    sets = texts_at(members, places, docs).mapInArrow(run, "node long, shingles binary")
+    rows = own.join(sets, "node").select("node", "component", "shingles", F.expr("transform(own, x -> struct(x.place as place, x.band as band))").alias("bands"), F.explode("own").alias("at"))
+    rows = rows.selectExpr("*", "component <> at.main as minor", "pmod(xxhash64(node, 1), at.u_blocks) as u0", "pmod(xxhash64(node, 2), at.v_blocks) as v0")
+    asking = "if(minor, transform(sequence(0L, at.v_blocks - 1L), v -> struct(u0 as u, v as v, true as asks, v = v0 as asked)), array())"
+    asked = "transform(filter(sequence(0L, at.u_blocks - 1L), u -> not minor or u <> u0), u -> struct(u as u, v0 as v, false as asks, true as asked))"
+    rows = rows.withColumn("cell", F.explode(F.expr(f"concat({asking}, {asked})")))
+    return rows.selectExpr("at.band", "int(cell.u) as u", "int(cell.v) as v", "at.place", "node", "component", "minor", "cell.asks", "cell.asked", "bands", "shingles")
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
 
-    Documents are linked when the Jaccard similarity of their sets of ``words``-word shingles is at least
-    ``percent`` %; component_id is the smallest id reachable over links. A text of fewer words is one shingle;
-    texts without a word, and null ones, have no shingle and no link. Equal sets are one class from the
-    start, under their smallest id. Classes that share a band are compared with the band's smallest
-    id; links are confirmed on whole sets and joined by union-find. Then the members of bands that still hold two
-    components or more are compared across components, so that no link is lost to the choice of the smallest
-    id; pairs within a component need no comparison (see ``across``).
-
-    An empty table gives an empty result. Rows with a null id are grouped with equal sets, else left alone, with
-    their group's smallest id if there is one. Repeated rows get the same answer each. Other columns are ignored.
-    """
-    docs = slim(docs, id_col, text_col)
+def across(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of nodes in different components, as ``Cells`` finds them in the rows of ``cells``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compare, held = Cells(percent), []
+
+        def done(table: pa.Table, cell: np.ndarray) -> pa.RecordBatch:
+            listed = table["bands"].combine_chunks()
+            bands = np.zeros((table.num_rows, BANDS), np.int64)
+            flat = listed.flatten()
+            bands[np.repeat(np.arange(table.num_rows), np.diff(listed.offsets.to_numpy())), flat.field("place").to_numpy()] = flat.field("band").to_numpy()
+            sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
+            node, component, place = (table[c].to_numpy() for c in ("node", "component", "place"))
+            asks, asked = (table[c].to_numpy().astype(bool) for c in ("asks", "asked"))
+            found = list(compare.links(cell, place, node, component, asks, asked, bands, sets))
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+        def numbered(table: pa.Table) -> np.ndarray:
+            keys = [table[c].to_numpy() for c in ("band", "u", "v")]
+            new = np.zeros(table.num_rows, bool)
+            for k in keys:
+                new[1:] |= k[1:] != k[:-1]
+            return np.cumsum(new)
+
+        for batch in pieces_of(batches, ROWS_AT_ONCE):
+            held.append(batch)
+            if sum(b.num_rows for b in held) < ROWS_AT_ONCE:
+                continue
+            table = pa.Table.from_batches(held)
+            cell = numbered(table)
+            whole = int(np.searchsorted(cell, cell[-1]))  # the last cell may go on
+            if whole:
+                yield done(table.slice(0, whole), cell[:whole])
+                held = table.slice(whole).combine_chunks().to_batches()
+        if held:
+            table = pa.Table.from_batches(held)
+            if table.num_rows:
+                yield done(table, numbered(table))
+
+    return rows.repartition("band", "u", "v").sortWithinPartitions("band", "u", "v").mapInArrow(run, "a long, b long").distinct()
+
+
+def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, node (a number of the group, null without shingles) and component_id of each document."""
     sketches = written(sketch(docs, words), "sketches")
     some = sketches.where("n_shingles > 0")
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
     classes = (
-        some.groupBy("set_id", salt.alias("salt")).agg(F.min("doc_id").alias("rep"))
-        .groupBy("set_id").agg(F.min("rep").alias("rep"), F.bit_or(F.expr("shiftleft(1L, cast(salt as int))")).alias("salts"))
+        some.groupBy("set_id", "salt").agg(F.min("doc_id").alias("doc_id"))
+        .groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.bit_or(F.expr("shiftleft(1L, cast(salt as int))")).alias("salts"))
     )
-    classes = written(classes, "classes")
-
-    reps = some.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    bands = reps.select(F.col("doc_id").alias("rep"), "n_shingles", F.explode("bands").alias("band"))
-    hubs = bands.groupBy("band").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+
+    key = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key")
+    reps = some.select("set_id", key, "doc_id", "text_hash", "n_shingles", "bands").join(classes.select("set_id", key, "node"), ["set_id", "key"]).dropDuplicates(["set_id", "key"])
+    reps = written(reps.select("node", "doc_id", "text_hash", "n_shingles", "bands"), "reps")
+    places = reps.select("node", "doc_id", "text_hash")
+    bands = reps.select("node", "n_shingles", F.posexplode("bands").alias("place", "band"))
+    hubs = bands.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     shared = written(bands.join(hubs, "band"), "shared")
-    stars = written(shared.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), "stars")
-    links = written(verified(stars, docs, words, percent), "links")
+    stars = written(shared.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "stars")
+    links = written(verified(stars, places, docs, words, percent), "links")
     found = components(links)
 
-    placed = shared.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-    placed = written(placed.join(mixed, "band"), "placed")
-    pairs = across(placed.select("rep", "component", "n_shingles").distinct(), docs, words, percent)
-    more = written(pairs.join(stars, ["a", "b"], "left_anti"), "more")
+    placed = shared.drop("hub").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parts = placed.groupBy("band", "component").agg(F.sum(F.col("n_shingles") + ROW_COST).alias("size"))
+    mixed = parts.groupBy("band").agg(F.max_by("component", "size").alias("main"), F.sum("size").alias("total"), F.max("size").alias("most")).where("total > most")
+    mixed = mixed.selectExpr("band", "main", f"ceil((total - most) / {BLOCK}) as u_blocks", f"ceil(total / {BLOCK}) as v_blocks")
+    members = written(placed.join(mixed, "band"), "members")
+    more = written(across(cells(members, places, docs, words), percent), "more")
     if more.take(1):
-        links = written(links.unionByName(verified(more, docs, words, percent)), "all_links")
+        links = written(links.unionByName(verified(more, places, docs, words, percent)), "all_links")
         found = components(links)
 
-    groups = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "set_id", F.coalesce("component", "rep").alias("component"), F.explode(F.expr(f"filter(sequence(0L, {SALTS - 1}L), s -> (shiftright(salts, cast(s as int)) & 1L) = 1L)")).alias("salt")
-    )
-    placed_docs = sketches.select("doc_id", "n_shingles", "set_id", salt.alias("salt")).join(groups, ["set_id", "salt"], "left")
-    return placed_docs.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    groups = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = groups.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    salts = F.explode(F.expr(f"filter(sequence(0L, {SALTS - 1}L), s -> (shiftright(salts, cast(s as int)) & 1L) = 1L)")).alias("salt")
+    groups = groups.join(least, "component").select("set_id", F.col("component").alias("node"), "component_id", salts)
+    placed_docs = sketches.select("doc_id", "text_hash", "n_shingles", "set_id", "salt").join(groups, ["set_id", "salt"], "left")
+    return placed_docs.select("doc_id", "text_hash", "n_shingles", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept.
+
+    Documents are linked when the Jaccard similarity of their sets of ``words``-word shingles is at least
+    ``percent`` %; component_id is the smallest id reachable over links. A text of fewer words is one shingle;
+    texts without a word, and null ones, have no shingle and no link. Equal sets (by a 128-bit hash) are one class from
+    the start. Classes that share a band are compared with one of the band; links are confirmed on whole sets of words and
+    joined by union-find. Then the members of bands that still hold two components or more are compared across
+    components, in cells of bounded size (see ``cells``), so that no link is lost to the choice of the one; pairs within a
+    component need no comparison, and only links leave a cell.
+
+    Ids are integers. An empty table gives an empty result. A null id is a row like others: its group has the smallest id
+    there is in it, null if none. Rows repeated with an id get an answer each, by their own texts. Other columns are ignored.
+    """
+    found = _grouped(slim(docs, id_col, text_col, whole=True), words, percent)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns, that are the smallest id of their group."""
-    kept = near_duplicates(docs, id_col, text_col, words, percent).where("kept").select(F.col("doc_id").alias("__kept_id"))
-    return docs.alias("l").join(kept, F.col(f"l.{id_col}").eqNullSafe(F.col("__kept_id")), "left_semi")
+    """The rows of ``docs``, all columns, one of each group: of the smallest id, and of that id's texts in the group the one with the
+    least hash. Rows without a word stay, each. Of rows repeated with id and text an arbitrary one stays."""
+    found = _grouped(slim(docs, id_col, text_col, whole=True), words, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    chosen = found.where("node is not null").groupBy("node", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    chosen = chosen.groupBy("node").agg(F.min("doc_id").alias("of_id"), F.min("text_hash").alias("of_hash"), F.sum("n").alias("n"))
+    empty = found.where("node is null").select("node", F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"), F.lit(1).alias("n"))
+    chosen = written(chosen.unionByName(empty), "chosen")
+
+    def of(keys: DataFrame) -> DataFrame:
+        return docs.join(keys, docs[id_col].eqNullSafe(keys["of_id"]) & (F.xxhash64(docs[text_col]) == keys["of_hash"]), "left_semi")
+
+    if not chosen.where("n > 1").take(1):
+        return of(chosen)
+    own = [F.col(c) for c in docs.columns]
+    again = of(chosen.where("n > 1")).groupBy(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__hash")).agg(F.first(F.struct(*own)).alias("__row"))
+    return of(chosen.where("n = 1")).unionByName(again.select("__row.*"))
 
 
 def sql(words: int = 4, percent: int = 80) -> str:
