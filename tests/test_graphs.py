@@ -87,6 +87,23 @@ def test_filtered_and_deleted_are_not_returned(spark, base, built):
     assert found and all(r["vec_id"] % 2 == 0 and r["vec_id"] % 10 for r in found)
 
 
+def test_beams_of_many_queries_are_those_of_each(rows):
+    ids = np.arange(len(rows)) * 7 % 900
+    graph = graphs.Graph.build(ids, rows.astype(float), "l2", 8, 40, np.zeros(len(rows), np.int64))
+    starts = np.stack([np.arange(60), np.arange(60) * 3, np.arange(60)], 1)
+    places, dist = graph.beams(rows[:60].astype(float), 20, starts)
+    graph.shown = np.ones(len(rows), bool)
+    again, same = graph.beams(rows[:60].astype(float), 20, starts)
+    assert (places == again).all() and np.allclose(dist, same)
+
+
+def test_links_survive_the_table(rows):
+    levels = (np.arange(len(rows)) % 50 == 0).astype(np.int64)
+    graph = graphs.Graph.build(np.arange(len(rows)), rows.astype(float), "l2", 8, 40, levels)
+    back = graphs.Graph.from_columns(graph.ids, graph.rows, graph.levels, graph.nested_links(), "l2")
+    assert all({tuple(sorted(a[a >= 0])) for a in x} == {tuple(sorted(b[b >= 0])) for b in y} for x, y in zip(graph.links, back.links, strict=True))
+
+
 def test_blocks_cover_each_node_once(spark, base, built):
     found = index.blocks(built).collect()
     assert sorted(r["member"] for r in found) == list(range(900))
@@ -98,11 +115,16 @@ def test_blocks_cover_each_node_once(spark, base, built):
 @pytest.mark.parametrize("method", ["cross", "sliding"])
 def test_merged_graph_is_searchable_as_one(spark, base, built, method):
     merged = merge.merge(built, order.merge_order(spark, "pairwise", 3), method, SETTINGS.m).persist()
-    assert {r[0] for r in merged.select("part_id").distinct().collect()} == {0} and merged.count() == 900
+    assert {r[0] for r in merged.select("part_id").distinct().collect()} == {0, 1, 2} and merged.count() == 900
     crossing = index.edges(merged).join(built.select(F.col("vec_id").alias("src"), F.col("part_id").alias("p")), "src").join(built.select(F.col("vec_id").alias("dst"), F.col("part_id").alias("q")), "dst")
     assert crossing.where("p <> q").count() > 900
     asked = base.where("vec_id % 20 = 0")
-    assert metrics.recall(index.search(merged, asked, 10, 80), knn.knn(asked, base, 10), 10).first()["recall"] > 0.95
+    truth = knn.knn(asked, base, 10)
+    assert metrics.recall(index.search(merge.as_one(merged), asked, 10, 80), truth, 10).first()["recall"] > 0.95
+    for probes in (1, 3):
+        assert metrics.recall(index.search_linked(merged, asked, 10, 80, probes=probes), truth, 10).first()["recall"] > 0.95
+    assert index.search_linked(merged, asked.limit(0), 10).count() == 0 and index.search_linked(merged.limit(0), asked, 10).count() == 0
+    assert metrics.degrees(index.edges(merged), base).first()["max_out"] <= 2 * SETTINGS.m
     violations = {r["rule"]: r["violations"] for r in metrics.integrity(index.edges(merged), base).collect()}
     assert not violations["self_link"] and not violations["repeated_link"] and not violations["unknown_node"]
 

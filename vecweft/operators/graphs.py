@@ -1,20 +1,24 @@
 """NumPy kernels over the graph of one partition: bulk construction, beam search, diversification, block cover.
 
 A graph has levels; level l holds the nodes whose level is at least l, and a search descends greedily to level 0,
-where a beam of ``ef`` nodes explores. Everything is deterministic: equal distances go by id.
+where a beam of ``ef`` nodes explores. Everything is deterministic: equal distances go by id. The links of a level are one
+array, a row of places for each node, -1 for none; searches take many queries at once, a step of all their beams together.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 from ..functions.vector import distances, one_by_one, unit
 
 #: Rows of a matrix product.
 ROWS = 2048
+#: Marks of visited nodes that a block of beams may hold.
+MARKS = 1 << 25
+NONE = -1
 
 
 def diversified(dist: np.ndarray, rows: np.ndarray, cap: int, space: str) -> list[int]:
@@ -22,7 +26,6 @@ def diversified(dist: np.ndarray, rows: np.ndarray, cap: int, space: str) -> lis
     node as to every one kept before, until ``cap`` are kept."""
     if len(dist) < cap:
         return list(range(len(dist)))
-    between = distances(rows, rows, space)
     kept: list[int] = []
     worst = np.full(len(dist), np.inf)
     for c in range(len(dist)):
@@ -30,7 +33,7 @@ def diversified(dist: np.ndarray, rows: np.ndarray, cap: int, space: str) -> lis
             kept.append(c)
             if len(kept) == cap:
                 break
-            np.minimum(worst, between[c], out=worst)
+            np.minimum(worst[c + 1 :], distances(rows[c : c + 1], rows[c + 1 :], space)[0], out=worst[c + 1 :])
     return kept
 
 
@@ -51,15 +54,26 @@ def nearest(rows: np.ndarray, ids: np.ndarray, k: int, space: str) -> tuple[np.n
     return places, found
 
 
+def padded(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
+    """Pairs as an array with a row for each of n sources, -1 where there are no more; in the order given."""
+    count = np.bincount(src, minlength=n)
+    out = np.full((n, max(1, int(count.max(initial=0)))), NONE, np.int64)
+    order = np.argsort(src, kind="stable")
+    at = np.arange(len(src)) - np.repeat(np.cumsum(count) - count, count)
+    out[src[order], at] = dst[order]
+    return out
+
+
 class Graph:
     """Vectors, ids and, for each level, the links of its nodes as places."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray, space: str, levels: np.ndarray | None = None, links: list[dict[int, np.ndarray]] | None = None, shown: np.ndarray | None = None):
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, space: str, levels: np.ndarray | None = None, links: list[np.ndarray] | None = None, shown: np.ndarray | None = None):
         self.ids, self.space = ids, space
         self.rows = unit(rows) if space == "cosine" else rows
         self.levels = np.zeros(len(ids), np.int64) if levels is None else levels
         self.links = links or []
         self.shown = shown
+        self.outside = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     @classmethod
     def build(cls, ids: np.ndarray, rows: np.ndarray, space: str, m: int, ef_construction: int, levels: np.ndarray) -> Graph:
@@ -69,27 +83,28 @@ class Graph:
         for level in range(int(levels.max(initial=0)) + 1):
             nodes = np.flatnonzero(levels >= level)
             near, dist = nearest(graph.rows[nodes], ids[nodes], max(ef_construction, m), space)
-            out: dict[int, set[int]] = defaultdict(set)
+            src, dst = [], []
             for i, node in enumerate(nodes):
-                for c in diversified(dist[i], graph.rows[nodes[near[i]]], m, space):
-                    out[int(node)].add(int(nodes[near[i, c]]))
-            graph.links.append(graph.both_ways(out, nodes, 2 * m if level == 0 else m))
+                kept = diversified(dist[i], graph.rows[nodes[near[i]]], m, space)
+                src += [node] * len(kept)
+                dst += nodes[near[i, kept]].tolist()
+            graph.links.append(graph.both_ways(np.array(src, np.int64), np.array(dst, np.int64), 2 * m if level == 0 else m))
         return graph
 
-    def both_ways(self, out: dict[int, set[int]], nodes: np.ndarray, cap: int) -> dict[int, np.ndarray]:
-        ways = {int(n): set(out.get(int(n), ())) for n in nodes}
-        for a, to in out.items():
-            for b in to:
-                ways[b].add(a)
-        found = {}
-        for node, to in ways.items():
-            near = np.array(sorted(to), np.int64)
-            if len(near) > cap:
-                dist = one_by_one(self.rows[near], self.rows[node], self.space)
-                near = near[np.lexsort((self.ids[near], dist))]
-                near = near[diversified(np.sort(dist), self.rows[near], cap, self.space)]
-            found[node] = near
-        return found
+    def both_ways(self, src: np.ndarray, dst: np.ndarray, cap: int) -> np.ndarray:
+        n = len(self.ids)
+        pairs = np.unique(np.r_[src * n + dst, dst * n + src])
+        ways = padded(pairs // max(n, 1), pairs % max(n, 1), n)
+        full = np.flatnonzero((ways != NONE).sum(1) > cap)
+        kept = ways[:, :cap].copy()
+        for node in full:
+            near = ways[node][ways[node] != NONE]
+            dist = self.distance(self.rows[node], near)
+            order = np.lexsort((self.ids[near], dist))
+            near = near[order][diversified(dist[order], self.rows[near[order]], cap, self.space)]
+            kept[node] = NONE
+            kept[node, : len(near)] = near
+        return kept
 
     def distance(self, query: np.ndarray, places: np.ndarray) -> np.ndarray:
         return one_by_one(self.rows[places], query, self.space)
@@ -99,38 +114,96 @@ class Graph:
         top = np.flatnonzero(self.levels == self.levels.max())
         return int(top[self.ids[top].argmin()])
 
-    def descend(self, query: np.ndarray) -> int:
-        at = self.entry()
-        best = float(self.distance(query, np.array([at]))[0])
-        for level in range(int(self.levels[at]), 0, -1):
-            while True:
-                near = self.links[level].get(at, ())
-                if not len(near):
-                    break
-                dist = self.distance(query, near)
-                i = int(dist.argmin())
-                if dist[i] >= best:
-                    break
-                at, best = int(near[i]), float(dist[i])
+    def descend(self, queries: np.ndarray) -> np.ndarray:
+        """The node at which each query enters level 0."""
+        entry = self.entry()
+        at = np.full(len(queries), entry)
+        best = self.distance(queries, at)
+        for level in range(int(self.levels[entry]), 0, -1):
+            going = np.arange(len(queries))
+            while len(going):
+                near = self.links[level][at[going]]
+                dist = np.where(near == NONE, np.inf, one_by_one(self.rows[near], queries[going, None, :], self.space))
+                i = dist.argmin(1)
+                least = dist[np.arange(len(going)), i]
+                better = least < best[going]
+                at[going[better]], best[going[better]] = near[better, i[better]], least[better]
+                going = going[better]
         return at
 
-    def beam(self, query: np.ndarray, ef: int, starts: list[int]) -> list[tuple[float, int]]:
-        """(distance, place) of up to ``ef`` shown nodes found on level 0 from ``starts``, closest first. Nodes that are not
-        shown (deleted, or filtered out) are passed through but not returned."""
+    def beams(self, queries: np.ndarray, ef: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and distances, closest first, of up to ``ef`` shown nodes that each query finds on level 0 from its row of
+        ``starts``; -1 and infinity for none. Nodes that are not shown (deleted, or filtered out) are passed through but not returned."""
+        n = len(self.ids)
+        places, dist = np.full((len(queries), ef), NONE, np.int64), np.full((len(queries), ef), np.inf)
+        step = max(1, MARKS // max(n, 1))
+        for at in range(0, len(queries), step):
+            part = slice(at, at + step)
+            if self.shown is None:
+                places[part], dist[part] = self._beams(queries[part], ef, starts[part])
+            else:
+                for i in range(at, min(at + step, len(queries))):
+                    for k, (d, p) in enumerate(self._beam(queries[i], ef, starts[i][starts[i] != NONE].tolist())):
+                        places[i, k], dist[i, k] = p, d
+        return places, dist
+
+    def _beams(self, queries: np.ndarray, ef: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All nodes are shown, so the nodes to explore are among the best ``ef``, and a query ends when all of those are."""
+        m, n = len(queries), len(self.ids)
+        ids = np.r_[self.ids, np.iinfo(np.int64).max]  # the last node stands for none
+        links = np.where(self.links[0] == NONE, n, self.links[0])
+        rows = self.rows
+        seen = np.zeros((m, n + 1), bool)
+        seen[:, n] = True
+        pool, dist, done = np.full((m, ef), n), np.full((m, ef), np.inf), np.ones((m, ef), bool)
+
+        def merge(who: np.ndarray, near: np.ndarray) -> None:
+            fresh = ~seen[who[:, None], near]
+            some = np.flatnonzero(fresh.any(1))
+            if not len(some):
+                return
+            who, near, fresh = who[some], near[some], fresh[some]
+            q, c = np.nonzero(fresh)
+            near = np.where(fresh, near, n)
+            seen[who[q], near[q, c]] = True
+            new = np.full(near.shape, np.inf)
+            new[q, c] = one_by_one(rows[near[q, c]], queries[who[q]], self.space)
+            all_dist, all_pool = np.concatenate((dist[who], new), 1), np.concatenate((pool[who], near), 1)
+            all_done = np.concatenate((done[who], ~fresh), 1)
+            order = np.lexsort((ids[all_pool], all_dist), axis=1)[:, :ef]
+            dist[who], pool[who], done[who] = (np.take_along_axis(x, order, 1) for x in (all_dist, all_pool, all_done))
+
+        first = np.sort(np.where(starts == NONE, n, starts), axis=1)
+        first[:, 1:][first[:, 1:] == first[:, :-1]] = n  # a start that comes twice
+        merge(np.arange(m), first)
+        going = np.arange(m)
+        while True:
+            going = going[~done[going].all(1)]
+            if not len(going):
+                break
+            i = done[going].argmin(1)  # pools are sorted: the first that is not explored is the closest
+            at = pool[going, i]
+            done[going, i] = True
+            merge(going, links[at])
+        return np.where(pool == n, NONE, pool), dist
+
+    def _beam(self, query: np.ndarray, ef: int, starts: list[int]) -> list[tuple[float, int]]:
+        """One query, where some nodes are not shown: those lie among the nodes to explore, not among the best."""
         seen = np.zeros(len(self.ids), bool)
         starts = list(dict.fromkeys(starts))
         seen[starts] = True
         ranked = sorted((float(d), int(self.ids[p]), p) for d, p in zip(self.distance(query, np.array(starts, np.int64)), starts, strict=True))[:ef]
         todo = list(ranked)
         heapq.heapify(todo)
-        best = [(-d, -i, p) for d, i, p in ranked if self.shown is None or self.shown[p]]
+        best = [(-d, -i, p) for d, i, p in ranked if self.shown[p]]
         heapq.heapify(best)
         while todo:
             dist, _, at = heapq.heappop(todo)
             if len(best) >= ef and dist > -best[0][0]:
                 break
-            near = self.links[0].get(at, ())
-            near = near[~seen[near]] if len(near) else near
+            near = self.links[0][at]
+            near = near[near != NONE]
+            near = near[~seen[near]]
             if not len(near):
                 continue
             seen[near] = True
@@ -138,59 +211,81 @@ class Graph:
                 if len(best) < ef or d <= -best[0][0]:
                     i = int(self.ids[p])
                     heapq.heappush(todo, (d, i, p))
-                    if self.shown is None or self.shown[p]:
+                    if self.shown[p]:
                         heapq.heappush(best, (-d, -i, p))
                         if len(best) > ef:
                             heapq.heappop(best)
         return [(d, p) for d, _, p in sorted((-d, -i, p) for d, i, p in best)]
 
-    def search(self, query: np.ndarray, ef: int, starts: list[int] | None = None) -> list[tuple[float, int]]:
-        if not len(self.ids):
-            return []
-        return self.beam(query, ef, starts or [self.descend(query)])
+    def search(self, queries: np.ndarray, ef: int, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """As ``beams``; without ``starts`` from where each query's descent ends."""
+        if not len(self.ids) or not len(queries):
+            return np.full((len(queries), ef), NONE, np.int64), np.full((len(queries), ef), np.inf)
+        return self.beams(queries, ef, self.descend(queries)[:, None] if starts is None else starts)
 
     def blocks(self, self_ef: int) -> dict[int, list[int]]:
         """Centres and the nodes they stand for: each node's ``self_ef`` nearest (itself included) are searched from itself;
         a node covers those that found it. Centres are taken greedily by how many uncovered nodes they cover, the larger
         place of equals last, until all are covered; gains are looked at again only when a centre comes up."""
-        finders: dict[int, list[int]] = defaultdict(list)
-        for node in range(len(self.ids)):
-            for _, p in self.beam(self.rows[node], self_ef, [node]):
-                finders[p].append(node)
-            if node not in finders[node]:
-                finders[node].append(node)
-        free = np.ones(len(self.ids), bool)
-        queue = [(-len(by), node) for node, by in finders.items()]
+        n = len(self.ids)
+        near, _ = self.beams(self.rows, self_ef, np.arange(n)[:, None])
+        who, k = np.nonzero(near != NONE)
+        pairs = np.unique(np.r_[near[who, k] * max(n, 1) + who, np.arange(n) * (n + 1)])
+        finders = np.split(pairs % max(n, 1), np.cumsum(np.bincount(pairs // max(n, 1), minlength=n))[:-1]) if n else []
+        free = np.ones(n, bool)
+        queue = [(-len(by), node) for node, by in enumerate(finders)]
         heapq.heapify(queue)
         found: dict[int, list[int]] = {}
         while queue:
             gain, node = heapq.heappop(queue)
             if not free[node]:
                 continue
-            now = [x for x in finders[node] if free[x]]
+            now = finders[node][free[finders[node]]]
             if -gain != len(now):
                 heapq.heappush(queue, (-len(now), node))
                 continue
             free[now] = False
-            found[node] = [x for x in now if x != node]
+            found[node] = now[now != node].tolist()
         return found
 
-    def rows_of(self, part_id: int, deleted: np.ndarray | None = None) -> dict:
-        """Columns of the index table."""
-        links = [[[int(self.ids[p]) for p in self.links[level].get(node, ())] for level in range(int(self.levels[node]) + 1)] for node in range(len(self.ids))]
-        return {"part_id": np.full(len(self.ids), part_id, np.int32), "vec_id": self.ids, "level": self.levels.astype(np.int32), "links": links}
+    def nested_links(self) -> pa.Array:
+        """The column ``links`` of the index table: ids by level and node."""
+        n = len(self.ids)
+        there = [(self.links[level] != NONE) & (self.levels >= level)[:, None] for level in range(len(self.links))]
+        lists = np.minimum(self.levels, len(self.links) - 1) + 1 if n else np.zeros(0, np.int64)
+        first = np.cumsum(lists) - lists
+        sizes, owner, values = np.zeros(int(lists.sum()), np.int64), [], []
+        for level, some in enumerate(there):
+            nodes = np.flatnonzero(lists > level)
+            sizes[first[nodes] + level] = some[nodes].sum(1)
+            q, _ = np.nonzero(some)
+            owner.append(first[q] + level)
+            values.append(self.ids[self.links[level][some]])
+        order = np.argsort(np.concatenate(owner), kind="stable") if owner else np.zeros(0, np.int64)
+        flat = np.concatenate(values)[order] if values else np.zeros(0, np.int64)
+        inner = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(flat, pa.int64()))
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lists)], pa.int32()), inner)
 
     @classmethod
-    def from_rows(cls, ids, rows, levels, links, space: str, shown=None) -> Graph:
-        """From columns of the index table; links to nodes that are not there are left out."""
+    def from_columns(cls, ids: np.ndarray, rows: np.ndarray, levels: np.ndarray, links: pa.Array, space: str, shown: np.ndarray | None = None) -> Graph:
+        """From columns of the index table; links to nodes that are not there are ``outside``, as (places, ids) of level 0."""
         ids = np.asarray(ids, np.int64)
-        order = np.argsort(ids)
+        order = np.argsort(ids, kind="stable")
+        place = np.empty(len(ids), np.int64)
+        place[order] = np.arange(len(ids))
         ids, rows, levels = ids[order], rows[order], np.asarray(levels, np.int64)[order]
-        by_level: list[dict[int, np.ndarray]] = [{} for _ in range(int(levels.max(initial=0)) + 1)]
-        for place, o in enumerate(order):
-            for level, to in enumerate(links[o]):
-                to = np.asarray(to, np.int64)
-                at = np.searchsorted(ids, to)
-                at[at == len(ids)] = 0
-                by_level[level][place] = at[ids[at] == to] if len(to) else at
-        return cls(ids, rows, space, levels, by_level, None if shown is None else np.asarray(shown)[order])
+        lists = np.diff(links.offsets.to_numpy())
+        inner = links.flatten()
+        sizes = np.diff(inner.offsets.to_numpy())
+        to = inner.flatten().to_numpy(zero_copy_only=False)
+        node, level = np.repeat(place, lists), np.arange(len(inner)) - np.repeat(np.cumsum(lists) - lists, lists)
+        src, of = np.repeat(node, sizes), np.repeat(level, sizes)
+        at = np.searchsorted(ids, to)
+        at[at == len(ids)] = 0
+        real = ids[at] == to if len(ids) else np.zeros(0, bool)
+        outside = src[~real & (of == 0)], to[~real & (of == 0)]
+        src, dst, of = src[real], at[real], of[real]
+        by_level = [padded(src[of == i], dst[of == i], len(ids)) for i in range(int(levels.max(initial=0)) + 1)]
+        graph = cls(ids, rows, space, levels, by_level, None if shown is None else np.asarray(shown)[order])
+        graph.outside = outside
+        return graph

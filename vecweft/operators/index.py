@@ -13,12 +13,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vector import check_space, level_of, matrix, unit
-from .graphs import Graph
-from .knn import Queries, _union, query_blocks, ranked
+from ..storage import written
+from .graphs import Graph, padded
+from .knn import RESULT, Queries, by_block, ranked
 
 INDEX = "part_id int, vec_id long, level int, deleted boolean, embedding array<float>, links array<array<long>>"
 #: Vectors of a partition, at most about so many.
@@ -61,7 +62,7 @@ def build(vectors: DataFrame, settings: Settings = Settings(), vector: str = "em
         table = table.sort_by("vec_id")
         ids, levels = table["vec_id"].to_numpy(), table["level"].to_numpy().astype(np.int64)
         graph = Graph.build(ids, arrays(table["embedding"]), settings.space, settings.m, settings.ef_construction, levels)
-        return table.append_column("links", pa.array(graph.rows_of(0)["links"], pa.list_(pa.list_(pa.int64()))))
+        return table.append_column("links", graph.nested_links())
 
     return rows.groupBy("part_id").applyInArrow(run, INDEX)
 
@@ -70,28 +71,94 @@ def graph_of(table: pa.Table, space: str) -> Graph:
     shown = ~table["deleted"].to_numpy(zero_copy_only=False).astype(bool)
     if "allowed" in table.column_names:
         shown &= table["allowed"].to_numpy(zero_copy_only=False).astype(bool)
-    return Graph.from_rows(table["vec_id"].to_numpy(), arrays(table["embedding"]), table["level"].to_numpy(), table["links"].to_pylist(), space, None if shown.all() else shown)
+    links = table["links"].combine_chunks()
+    return Graph.from_columns(table["vec_id"].to_numpy(), arrays(table["embedding"]), table["level"].to_numpy(), links, space, None if shown.all() else shown)
+
+
+FOUND = "q_id long, vec_id long, dist double"
+
+
+def found_rows(graph: Graph, q_ids: np.ndarray, places: np.ndarray, dist: np.ndarray) -> pa.Table:
+    q, at = np.nonzero(places != -1)
+    return pa.table({"q_id": q_ids[q], "vec_id": graph.ids[places[q, at]], "dist": dist[q, at]})
 
 
 def _probe(block: Queries, k: int, ef: int, space: str) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         graph = graph_of(table, space)
-        found = [(int(q), int(graph.ids[p]), d) for q, row in zip(block.ids, block.rows, strict=True) for d, p in graph.search(row, max(ef, k))[:k]]
-        q, v, d = zip(*found, strict=True) if found else ((), (), ())
-        return pa.table({"q_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "dist": pa.array(d, pa.float64())})
+        places, dist = graph.search(block.rows, max(ef, k))
+        return found_rows(graph, block.ids, places[:, :k], dist[:, :k])
 
     return run
 
 
+def _marked(index: DataFrame, allowed: Column | None) -> DataFrame:
+    return index.withColumn("allowed", F.coalesce(allowed, F.lit(False)) if allowed is not None else F.lit(True))
+
+
 def search(index: DataFrame, queries: DataFrame, k: int, ef: int = 50, space: str = "l2", allowed: Column | None = None, q_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(q_id, rank, vec_id, dist): about the k nearest. ``allowed`` is a condition on the index table; vectors that fail
-    it, and deleted ones, are walked through but not returned."""
+    it, and deleted ones, are walked through but not returned. Each partition is searched by itself, links across are not followed."""
+    check_space(space)
+    rows = _marked(index, allowed)
+
+    def of(block: Queries) -> DataFrame:
+        return rows.groupBy("part_id").applyInArrow(_probe(block, k, ef, space), FOUND)
+
+    return ranked(by_block(queries, space, q_id, vector, of, FOUND), k)
+
+
+def search_linked(index: DataFrame, queries: DataFrame, k: int, ef: int = 50, space: str = "l2", probes: int = 1, allowed: Column | None = None, q_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(q_id, rank, vec_id, dist): about the k nearest in a merged index whose links cross partitions.
+
+    A query enters ``probes`` partitions; from the best ``ef`` nodes found so far it follows the links that leave them into
+    partitions it has not been in, until there are none. So no task holds more than a partition. Rounds, one more than the
+    partitions a query passes one after the other, are written to the shared folder.
+    """
     check_space(space)
-    rows = index.withColumn("allowed", F.coalesce(allowed, F.lit(False)) if allowed is not None else F.lit(True))
-    parts = []
-    for block in query_blocks(queries, space, q_id, vector):
-        parts.append(rows.groupBy("part_id").applyInArrow(_probe(block, k, ef, space), "q_id long, vec_id long, dist double"))
-    return ranked(_union(parts, index.sparkSession, "q_id long, vec_id long, dist double"), k)
+    rows, spark = _marked(index, allowed), index.sparkSession
+    asked = queries.where(F.col(q_id).isNotNull() & F.col(vector).isNotNull()).select(F.col(q_id).cast("long").alias("q_id"), F.col(vector).cast("array<float>").alias("q"))
+    parts = [r[0] for r in index.select("part_id").distinct().orderBy("part_id").collect()]
+    if not parts:
+        return spark.createDataFrame([], RESULT)
+    first = F.pmod(F.xxhash64("q_id"), F.lit(len(parts)))
+    chosen = F.explode(F.transform(F.sequence(F.lit(0), F.lit(min(probes, len(parts)) - 1)), lambda i: F.try_element_at(F.array(*(F.lit(p) for p in parts)), ((first + i) % len(parts) + 1).cast("int"))))
+    going = asked.withColumn("part", chosen).withColumn("starts", F.expr("cast(array() as array<bigint>)"))
+    places = index.select(F.col("vec_id").alias("target"), F.col("part_id").alias("part"))
+    pool = been = None
+
+    def run(table: pa.Table, going: pa.Table) -> pa.Table:
+        if not table.num_rows or not going.num_rows:
+            return pa.table({"q_id": pa.array([], pa.int64()), "part": pa.array([], pa.int32()), "vec_id": pa.array([], pa.int64()), "dist": pa.array([], pa.float64()), "targets": pa.array([], pa.list_(pa.int64()))})
+        graph, ids = graph_of(table, space), going["q_id"].to_numpy()
+        vectors = unit_rows(arrays(going["q"]), space)
+        given = going["starts"].combine_chunks()
+        sizes = np.diff(given.offsets.to_numpy())
+        starts = padded(np.repeat(np.arange(len(ids)), sizes), np.searchsorted(graph.ids, given.flatten().to_numpy()), len(ids))
+        alone = np.flatnonzero(sizes == 0)
+        starts[alone, 0] = graph.descend(vectors[alone])
+        near, dist = graph.search(vectors, max(ef, k), starts)
+        q, at = np.nonzero(near != -1)
+        src, to = graph.outside
+        by_node = padded(src, to, len(graph.ids))
+        out = by_node[near[q, at]]
+        there = out != -1
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(there.sum(1))], pa.int32()), pa.array(out[there], pa.int64()))
+        return pa.table({"q_id": ids[q], "part": pa.array([table["part_id"][0].as_py()] * len(q), pa.int32()), "vec_id": graph.ids[near[q, at]], "dist": dist[q, at], "targets": lists})
+
+    for _ in range(len(parts)):
+        visited = written(going.select("q_id", "part"), "visited")
+        been = visited if been is None else been.unionByName(visited)
+        seen = rows.groupBy("part_id").cogroup(going.groupBy("part")).applyInArrow(run, "q_id long, part int, vec_id long, dist double, targets array<long>")
+        place = F.row_number().over(Window.partitionBy("q_id").orderBy("dist", "vec_id"))
+        both = seen if pool is None else pool.unionByName(seen)
+        pool = written(both.dropDuplicates(["q_id", "vec_id"]).withColumn("place", place).where(F.col("place") <= max(ef, k)).drop("place"), "pool")
+        ways = pool.select("q_id", F.explode("targets").alias("target")).distinct().join(places, "target").join(been, ["q_id", "part"], "left_anti")
+        ways = written(ways.groupBy("q_id", "part").agg(F.sort_array(F.collect_list("target")).alias("starts")), "ways")
+        if not ways.take(1):
+            break
+        going = ways.join(asked, "q_id").select("q_id", "q", "part", "starts")
+    return ranked(pool.select("q_id", "vec_id", "dist"), k)
 
 
 def edges(index: DataFrame, level: int | None = 0) -> DataFrame:

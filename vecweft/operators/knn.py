@@ -15,15 +15,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vector import check_space, distances, matrix, one_by_one, unit
+from ..storage import new_path
 
 #: Bytes of query vectors that are sent to the workers at once.
 BLOCK_BYTES = 32 << 20
-#: Rows of a matrix product.
-ROWS = 4096
+#: Vectors, and queries, of a matrix product; neighbours of each of those queries whose vectors are gathered together.
+ROWS, AT_ONCE, GATHER = 4096, 512, 16
 #: Kept beyond k while scanning, as the products round.
 SPARE = 8
 
 RESULT = "q_id long, rank int, vec_id long, dist double"
+FOUND = "q_id long, vec_id long, dist double"
 
 
 class Queries:
@@ -35,22 +37,39 @@ class Queries:
         if space == "cosine":
             self.rows = unit(self.rows)
 
+    def parts(self) -> Iterator[slice]:
+        """Queries of a matrix product."""
+        for at in range(0, len(self.ids), AT_ONCE):
+            yield slice(at, min(at + AT_ONCE, len(self.ids)))
 
-def query_blocks(queries: DataFrame, space: str, q_id: str, vector: str) -> Iterator[Queries]:
-    """The queries in blocks of BLOCK_BYTES, in order of id; each block is read by itself."""
+
+def by_block(queries: DataFrame, space: str, q_id: str, vector: str, work: Callable[[Queries], DataFrame], schema: str) -> DataFrame:
+    """``work(block)`` of the queries in blocks of at most BLOCK_BYTES, as one table.
+
+    A single block is a lazy plan. Of several one at a time is brought to the driver, searched, and its result written to the
+    shared folder, so neither driver nor plan ever holds more than a block.
+    """
     queries = queries.where(F.col(q_id).isNotNull() & F.col(vector).isNotNull())
+    spark = queries.sparkSession
     shape = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector)).alias("d")).first()
     blocks = max(1, -(-shape["n"] * 8 * max(shape["d"] or 1, 1) // BLOCK_BYTES))
+    paths = []
     for block in range(blocks):
         part = queries.where(F.pmod(F.xxhash64(q_id), F.lit(blocks)) == block) if blocks > 1 else queries
         rows = part.select(q_id, vector).orderBy(q_id).collect()
-        if rows:
-            yield Queries([r[0] for r in rows], [r[1] for r in rows], space)
+        if not rows:
+            continue
+        found = work(Queries([r[0] for r in rows], [r[1] for r in rows], space))
+        if blocks == 1:
+            return found
+        paths.append(new_path(spark, "found"))
+        found.write.parquet(paths[-1])
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
 def scan(base: DataFrame, queries: Queries, space: str, work: Callable, schema: str, columns: tuple[str, ...] = (), vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """``work(ids, rows, extra columns, distances)`` for each block of rows of a task; it gets None at the end of the task
-    and yields batches of ``schema``."""
+    """``work(ids, rows, extra columns)`` for each block of rows of a task; it gets None at the end of the task
+    and returns batches of ``schema`` or None."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = work()
@@ -62,12 +81,8 @@ def scan(base: DataFrame, queries: Queries, space: str, work: Callable, schema:
                 if rows.shape[1] != queries.rows.shape[1]:
                     raise ValueError(f"vectors have {rows.shape[1]} components, queries {queries.rows.shape[1]}")
                 rows = unit(rows) if space == "cosine" else rows
-                out = state.send((part.column(0).to_numpy(zero_copy_only=False), rows, [part.column(2 + i).to_numpy(zero_copy_only=False) for i in range(len(columns))], distances(queries.rows, rows, space)))
-                if out is not None:
-                    yield out
-        out = state.send(None)
-        if out is not None:
-            yield out
+                yield from state.send((part.column(0).to_numpy(zero_copy_only=False), rows, [part.column(2 + i).to_numpy(zero_copy_only=False) for i in range(len(columns))])) or ()
+        yield from state.send(None) or ()
 
     return base.select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("v"), *columns).where("vec_id is not null and v is not null").mapInArrow(run, schema)
 
@@ -77,43 +92,45 @@ def _batch(queries: Queries, at: np.ndarray, ids: np.ndarray, dist: np.ndarray)
 
 
 def _nearest(queries: Queries, k: int, space: str, exclude_self: bool) -> Callable:
-    """Running k nearest of each query over the rows of a task."""
+    """Running k nearest of each query over the rows of a task: ids and exact distances, no vectors."""
+
+    def closest(part: slice, new_ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and exact distances of the rows that may be among the k nearest of each query."""
+        asked, keep = queries.rows[part], k + SPARE
+        dist = distances(asked, rows, space)
+        if exclude_self:
+            dist = np.where(new_ids[None, :] == queries.ids[part, None], np.inf, dist)
+        if dist.shape[1] > keep:
+            near = np.argpartition(dist, keep - 1, axis=1)[:, :keep]
+            edge = np.take_along_axis(dist, near, 1).max(1)
+            # Rows as near as the last one kept: the smaller ids stay.
+            tied = np.flatnonzero((dist <= edge[:, None]).sum(1) > keep)
+            if len(tied):
+                near[tied] = np.lexsort((np.broadcast_to(new_ids, (len(tied), len(new_ids))), dist[tied]), axis=1)[:, :keep]
+        else:
+            near = np.broadcast_to(np.arange(dist.shape[1]), dist.shape)
+        exact = np.empty(near.shape)
+        for at in range(0, near.shape[1], GATHER):
+            exact[:, at : at + GATHER] = one_by_one(asked[:, None, :], rows[near[:, at : at + GATHER]], space)
+        return new_ids[near], np.where(np.isinf(np.take_along_axis(dist, near, 1)), np.inf, exact)
 
     def work():
-        m, d = queries.rows.shape
-        keep = k + SPARE
-        best = np.full((m, 0), np.inf)
-        ids = np.zeros((m, 0), np.int64)
-        vectors = np.zeros((m, 0, d))
+        best = [np.zeros((p.stop - p.start, 0)) for p in queries.parts()]
+        ids = [np.zeros((p.stop - p.start, 0), np.int64) for p in queries.parts()]
         got = yield
         while got is not None:
-            new_ids, rows, _, dist = got
-            if exclude_self:
-                dist = np.where(new_ids[None, :] == queries.ids[:, None], np.inf, dist)
-            if dist.shape[1] > keep:
-                # Rows as near as the last one kept stay for now, whatever their order.
-                near = np.argpartition(dist, keep - 1, axis=1)[:, :keep]
-                edge = np.take_along_axis(dist, near, 1).max(1)
-                tied = (dist <= edge[:, None]).sum(1).max()
-                if tied > keep:
-                    order = np.lexsort((np.broadcast_to(new_ids, dist.shape), dist), axis=1)
-                    near = order[:, :keep]
-            else:
-                near = np.broadcast_to(np.arange(dist.shape[1]), dist.shape)
-            best = np.concatenate((best, np.take_along_axis(dist, near, 1)), 1)
-            ids = np.concatenate((ids, new_ids[near]), 1)
-            vectors = np.concatenate((vectors, rows[near]), 1)
-            if best.shape[1] > keep:
-                order = np.lexsort((ids, best), axis=1)[:, :keep]
-                best, ids = np.take_along_axis(best, order, 1), np.take_along_axis(ids, order, 1)
-                vectors = np.take_along_axis(vectors, order[:, :, None], 1)
+            new_ids, rows, _ = got
+            for i, part in enumerate(queries.parts()):
+                near, exact = closest(part, new_ids, rows)
+                all_best, all_ids = np.concatenate((best[i], exact), 1), np.concatenate((ids[i], near), 1)
+                order = np.lexsort((all_ids, all_best), axis=1)[:, :k]
+                best[i], ids[i] = np.take_along_axis(all_best, order, 1), np.take_along_axis(all_ids, order, 1)
             got = yield None
-        exact = np.where(np.isinf(best), np.inf, one_by_one(queries.rows[:, None, :], vectors, space))
-        order = np.lexsort((ids, exact), axis=1)[:, :k]
-        exact, ids = np.take_along_axis(exact, order, 1), np.take_along_axis(ids, order, 1)
-        at = np.broadcast_to(np.arange(m)[:, None], exact.shape)
-        real = ~np.isinf(exact)
-        yield _batch(queries, at[real], ids[real], exact[real])
+        out = []
+        for i, part in enumerate(queries.parts()):
+            q, at = np.nonzero(~np.isinf(best[i]))
+            out.append(_batch(queries, q + part.start, ids[i][q, at], best[i][q, at]))
+        yield out
 
     return work
 
@@ -124,15 +141,6 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("q_id", "rank", "vec_id", "dist")
 
 
-def _union(parts: list[DataFrame], spark, schema: str) -> DataFrame:
-    if not parts:
-        return spark.createDataFrame([], schema)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
 def knn(queries: DataFrame, base: DataFrame, k: int, space: str = "l2", exclude_self: bool = False, strict: bool = False, q_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(q_id, rank, vec_id, dist): the k vectors of ``base`` closest to each query, ties by id.
 
@@ -143,8 +151,8 @@ def knn(queries: DataFrame, base: DataFrame, k: int, space: str = "l2", exclude_
     check_space(space)
     if k < 1:
         raise ValueError("k must be at least 1")
-    parts = [scan(base, block, space, _nearest(block, k, space, exclude_self), "q_id long, vec_id long, dist double", vector=vector) for block in query_blocks(queries, space, q_id, vector)]
-    found = ranked(_union(parts, base.sparkSession, "q_id long, vec_id long, dist double"), k)
+    found = by_block(queries, space, q_id, vector, lambda block: scan(base, block, space, _nearest(block, k, space, exclude_self), FOUND, vector=vector), FOUND)
+    found = ranked(found, k)
     if strict:
         counts = queries.select(F.col(q_id).alias("q_id")).distinct().join(found.groupBy("q_id").agg(F.count(F.lit(1)).alias("n")), "q_id", "left")
         short = counts.where(F.coalesce("n", F.lit(0)) < k).first()
@@ -169,24 +177,29 @@ def radius(queries: DataFrame, base: DataFrame, epsilon: float, space: str = "l2
         def work():
             got, out = (yield), None
             while got is not None:
-                ids, rows, _, dist = got
-                at, near = np.nonzero(dist <= epsilon + 1e-9 * (1 + abs(epsilon)))
-                exact = one_by_one(queries.rows[at], rows[near], space)
-                inside = exact <= epsilon
-                at, near, exact = at[inside], near[inside], exact[inside]
-                if max_num is not None:
-                    order = np.lexsort((ids[near], exact, at))
-                    at, near, exact = at[order], near[order], exact[order]
-                    first = np.arange(len(at)) - np.searchsorted(at, at) < max_num
-                    at, near, exact = at[first], near[first], exact[first]
-                out = _batch(queries, at, ids[near], exact)
+                ids, rows, _ = got
+                out = []
+                for part in queries.parts():
+                    at, near = np.nonzero(distances(queries.rows[part], rows, space) <= epsilon + 1e-9 * (1 + abs(epsilon)))
+                    at += part.start
+                    exact = np.empty(len(at))
+                    for i in range(0, len(at), AT_ONCE * GATHER):
+                        some = slice(i, i + AT_ONCE * GATHER)
+                        exact[some] = one_by_one(queries.rows[at[some]], rows[near[some]], space)
+                    inside = exact <= epsilon
+                    at, near, exact = at[inside], near[inside], exact[inside]
+                    if max_num is not None:
+                        order = np.lexsort((ids[near], exact, at))
+                        at, near, exact = at[order], near[order], exact[order]
+                        first = np.arange(len(at)) - np.searchsorted(at, at) < max_num
+                        at, near, exact = at[first], near[first], exact[first]
+                    out.append(_batch(queries, at, ids[near], exact))
                 got = yield out
             yield None
 
         return work
 
-    parts = [scan(base, block, space, within(block), "q_id long, vec_id long, dist double", vector=vector) for block in query_blocks(queries, space, q_id, vector)]
-    found = _union(parts, base.sparkSession, "q_id long, vec_id long, dist double")
+    found = by_block(queries, space, q_id, vector, lambda block: scan(base, block, space, within(block), FOUND, vector=vector), FOUND)
     place = F.row_number().over(Window.partitionBy("q_id").orderBy("dist", "vec_id"))
     found = found.withColumn("rank", place)
     return (found if max_num is None else found.where(F.col("rank") <= max_num)).select("q_id", "rank", "vec_id", "dist")
@@ -199,25 +212,29 @@ def document_search(queries: DataFrame, base: DataFrame, num_docs: int, space: s
     the cutoff, and a second scan returns what lies before it.
     """
     check_space(space)
-    parts = []
-    for block in query_blocks(queries, space, q_id, vector):
+    named = base.withColumn("__doc", F.col(doc_id).cast("long"))
 
-        def least(block: Queries = block) -> Iterator:
+    def exact(block: Queries, part: slice, rows: np.ndarray) -> np.ndarray:
+        return np.stack([one_by_one(q[None, :], rows, space) for q in block.rows[part]])
+
+    def search(block: Queries) -> DataFrame:
+        def least() -> Iterator:
             got = yield
             while got is not None:
-                ids, rows, (docs,), _ = got
-                dist = np.stack([one_by_one(np.broadcast_to(q, rows.shape), rows, space) for q in block.rows])
+                ids, rows, (docs,) = got
                 order = np.lexsort((ids, docs))
                 starts = np.flatnonzero(np.r_[True, docs[order][1:] != docs[order][:-1]])
-                low = np.minimum.reduceat(dist[:, order], starts, axis=1)
                 owner = np.searchsorted(starts, np.arange(len(order)), "right") - 1
-                hit = np.where(dist[:, order] == low[:, owner], ids[order][None, :], np.iinfo(np.int64).max)
-                first = np.minimum.reduceat(hit, starts, axis=1)
-                m, n = low.shape
-                got = yield pa.RecordBatch.from_arrays([pa.array(np.repeat(block.ids, n)), pa.array(np.tile(docs[order][starts].astype(np.int64), m)), pa.array(low.ravel()), pa.array(first.ravel())], ["q_id", "doc_id", "dist", "vec_id"])
+                out = []
+                for part in block.parts():
+                    dist = exact(block, part, rows)[:, order]
+                    low = np.minimum.reduceat(dist, starts, axis=1)
+                    first = np.minimum.reduceat(np.where(dist == low[:, owner], ids[order][None, :], np.iinfo(np.int64).max), starts, axis=1)
+                    m, n = low.shape
+                    out.append(pa.RecordBatch.from_arrays([pa.array(np.repeat(block.ids[part], n)), pa.array(np.tile(docs[order][starts].astype(np.int64), m)), pa.array(low.ravel()), pa.array(first.ravel())], ["q_id", "doc_id", "dist", "vec_id"]))
+                got = yield out
             yield None
 
-        named = base.withColumn("__doc", F.col(doc_id).cast("long"))
         firsts = scan(named, block, space, least, "q_id long, doc_id long, dist double, vec_id long", ("__doc",), vector=vector)
         firsts = firsts.groupBy("q_id", "doc_id").agg(F.min(F.struct("dist", "vec_id")).alias("f"))
         place = F.row_number().over(Window.partitionBy("q_id").orderBy("f"))
@@ -225,15 +242,19 @@ def document_search(queries: DataFrame, base: DataFrame, num_docs: int, space: s
         cut = np.array([cutoffs.get(int(q), (np.inf, 0))[0] for q in block.ids])
         cut_id = np.array([cutoffs.get(int(q), (np.inf, np.iinfo(np.int64).max))[1] for q in block.ids])
 
-        def before(block: Queries = block, cut: np.ndarray = cut, cut_id: np.ndarray = cut_id) -> Iterator:
+        def before() -> Iterator:
             got = yield
             while got is not None:
-                ids, rows, (docs,), _ = got
-                dist = np.stack([one_by_one(np.broadcast_to(q, rows.shape), rows, space) for q in block.rows])
-                at, near = np.nonzero((dist < cut[:, None]) | ((dist == cut[:, None]) & (ids[None, :] < cut_id[:, None])))
-                got = yield pa.RecordBatch.from_arrays([pa.array(block.ids[at]), pa.array(ids[near]), pa.array(docs[near].astype(np.int64)), pa.array(dist[at, near])], ["q_id", "vec_id", "doc_id", "dist"])
+                ids, rows, (docs,) = got
+                out = []
+                for part in block.parts():
+                    dist = exact(block, part, rows)
+                    at, near = np.nonzero((dist < cut[part, None]) | ((dist == cut[part, None]) & (ids[None, :] < cut_id[part, None])))
+                    out.append(pa.RecordBatch.from_arrays([pa.array(block.ids[part][at]), pa.array(ids[near]), pa.array(docs[near].astype(np.int64)), pa.array(dist[at, near])], ["q_id", "vec_id", "doc_id", "dist"]))
+                got = yield out
             yield None
 
-        parts.append(scan(named, block, space, before, "q_id long, vec_id long, doc_id long, dist double", ("__doc",), vector=vector))
-    found = _union(parts, base.sparkSession, "q_id long, vec_id long, doc_id long, dist double")
+        return scan(named, block, space, before, "q_id long, vec_id long, doc_id long, dist double", ("__doc",), vector=vector)
+
+    found = by_block(queries, space, q_id, vector, search, "q_id long, vec_id long, doc_id long, dist double")
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy("dist", "vec_id"))).select("q_id", "rank", "vec_id", "doc_id", "dist")

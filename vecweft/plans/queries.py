@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vector as V
 from ..operators import graphs, index, knn, merge, metrics, order, partition, tables
+from ..storage import written
 from .oracle import M, PARTS
 
 K, EPSILON, MAX_NUM, NUM_DOCS, EVERY = 10, 1.4, 5, 3, 50
@@ -235,7 +236,7 @@ def greedy_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def merged(method: str) -> Callable:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        graph = merge.merge(built(spark, sf_dir), order.merge_order(spark, "unweighted-graph", PARTS), method, SETTINGS.m)
+        graph = merge.merge(written(built(spark, sf_dir), "index"), order.merge_order(spark, "unweighted-graph", PARTS), method, SETTINGS.m)
         return index.edges(graph).select("src", "dst")
 
     return run
@@ -243,8 +244,8 @@ def merged(method: str) -> Callable:
 
 def merged_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = vectors(spark, sf_dir)
-    graph = merge.merge(built(spark, sf_dir), order.merge_order(spark, "unweighted-graph", PARTS), "sliding", SETTINGS.m)
-    return metrics.recall(index.search(graph, asked(base), K, ef=100), knn.knn(asked(base), base, K), K)
+    graph = merge.merge(written(built(spark, sf_dir), "index"), order.merge_order(spark, "unweighted-graph", PARTS), "sliding", SETTINGS.m)
+    return metrics.recall(index.search_linked(graph, asked(base), K, ef=100), knn.knn(asked(base), base, K), K)
 
 
 def overlap_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
