@@ -108,12 +108,12 @@ def search(index: DataFrame, queries: DataFrame, k: int, ef: int = 50, space: st
     return ranked(by_block(queries, space, q_id, vector, of, FOUND), k)
 
 
-def search_linked(index: DataFrame, queries: DataFrame, k: int, ef: int = 50, space: str = "l2", probes: int = 1, allowed: Column | None = None, q_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def search_linked(index: DataFrame, queries: DataFrame, k: int, ef: int = 50, space: str = "l2", probes: int = 2, rounds: int = 16, allowed: Column | None = None, q_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(q_id, rank, vec_id, dist): about the k nearest in a merged index whose links cross partitions.
 
-    A query enters ``probes`` partitions; from the best ``ef`` nodes found so far it follows the links that leave them into
-    partitions it has not been in, until there are none. So no task holds more than a partition. Rounds, one more than the
-    partitions a query passes one after the other, are written to the shared folder.
+    A query enters ``probes`` partitions; from the best ``ef`` nodes found so far it follows the links that leave their partitions to
+    nodes it has not come to, each once, until there are none or ``rounds`` are over. So no task holds more than a partition.
+    Rounds are written to the shared folder.
     """
     check_space(space)
     rows, spark = _marked(index, allowed), index.sparkSession
@@ -146,18 +146,17 @@ def search_linked(index: DataFrame, queries: DataFrame, k: int, ef: int = 50, sp
         lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(there.sum(1))], pa.int32()), pa.array(out[there], pa.int64()))
         return pa.table({"q_id": ids[q], "part": pa.array([table["part_id"][0].as_py()] * len(q), pa.int32()), "vec_id": graph.ids[near[q, at]], "dist": dist[q, at], "targets": lists})
 
-    for _ in range(len(parts)):
-        visited = written(going.select("q_id", "part"), "visited")
-        been = visited if been is None else been.unionByName(visited)
+    for _ in range(rounds):
         seen = rows.groupBy("part_id").cogroup(going.groupBy("part")).applyInArrow(run, "q_id long, part int, vec_id long, dist double, targets array<long>")
         place = F.row_number().over(Window.partitionBy("q_id").orderBy("dist", "vec_id"))
-        both = seen if pool is None else pool.unionByName(seen)
-        pool = written(both.dropDuplicates(["q_id", "vec_id"]).withColumn("place", place).where(F.col("place") <= max(ef, k)).drop("place"), "pool")
-        ways = pool.select("q_id", F.explode("targets").alias("target")).distinct().join(places, "target").join(been, ["q_id", "part"], "left_anti")
-        ways = written(ways.groupBy("q_id", "part").agg(F.sort_array(F.collect_list("target")).alias("starts")), "ways")
+        seen = seen if pool is None else pool.unionByName(seen)
+        pool = written(seen.dropDuplicates(["q_id", "vec_id"]).withColumn("place", place).where(F.col("place") <= max(ef, k)).drop("place"), "pool")
+        ways = pool.select("q_id", F.explode("targets").alias("target")).distinct().join(pool.select("q_id", F.col("vec_id").alias("target")), ["q_id", "target"], "left_anti")
+        ways = written((ways if been is None else ways.join(been, ["q_id", "target"], "left_anti")).join(places, "target"), "ways")
         if not ways.take(1):
             break
-        going = ways.join(asked, "q_id").select("q_id", "q", "part", "starts")
+        been = ways.select("q_id", "target") if been is None else been.unionByName(ways.select("q_id", "target"))
+        going = ways.groupBy("q_id", "part").agg(F.sort_array(F.collect_list("target")).alias("starts")).join(asked, "q_id").select("q_id", "q", "part", "starts")
     return ranked(pool.select("q_id", "vec_id", "dist"), k)
 
 
