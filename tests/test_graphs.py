@@ -104,6 +104,51 @@ def test_links_survive_the_table(rows):
     assert all({tuple(sorted(a[a >= 0])) for a in x} == {tuple(sorted(b[b >= 0])) for b in y} for x, y in zip(graph.links, back.links, strict=True))
 
 
+def test_inserted_and_updated_nodes_are_found(spark, base, built, rows):
+    new = spark.createDataFrame([(900 + i, r.tolist()) for i, r in enumerate(np.random.default_rng(5).random((90, 12)).astype(np.float32))], SCHEMA)
+    moved = base.where("vec_id % 30 = 7").withColumn("embedding", F.transform("embedding", lambda x: 1 - x))
+    changes = new.unionByName(moved)
+    grown = index.add(built.withColumn("deleted", F.col("vec_id") == 7), changes, SETTINGS).persist()
+    now = base.join(moved, "vec_id", "left_anti").unionByName(changes)
+    assert grown.count() == 990 and not grown.where("deleted").count()
+    violations = {r["rule"]: r["violations"] for r in metrics.integrity(index.edges(grown), now).collect()}
+    assert not violations["self_link"] and not violations["repeated_link"] and not violations["unknown_node"] and metrics.degrees(index.edges(grown), now).first()["max_out"] <= 2 * SETTINGS.m
+    assert metrics.recall(index.search(grown, changes, 10, 80), knn.knn(changes, now, 10), 10).first()["recall"] > 0.95
+    asked = now.where("vec_id % 20 = 0")
+    assert metrics.recall(index.search(grown, asked, 10, 80), knn.knn(asked, now, 10), 10).first()["recall"] > 0.95
+    untouched = index.add(built, new.limit(0), SETTINGS)
+    assert untouched.count() == 900 and index.add(built.limit(0), new, SETTINGS).count() == 90
+
+
+def test_radius_and_documents_over_the_graph(spark, base, built):
+    asked = base.where("vec_id % 45 = 0")
+    exact, found = knn.radius(asked, base, 0.6), index.search_radius(built, asked, 0.6)
+    want, got = ({(r["q_id"], r["vec_id"]) for r in x.collect()} for x in (exact, found))
+    assert got <= want and len(got) > 0.95 * len(want)
+    assert index.search_radius(built, asked, 0.6, max_num=2).groupBy("q_id").count().agg(F.max("count")).first()[0] <= 2
+    docs = base.withColumn("doc_id", F.col("vec_id") % 40)
+    want = {(r["q_id"], r["vec_id"]) for r in knn.document_search(asked, docs, 4).collect()}
+    got = {(r["q_id"], r["vec_id"]) for r in index.search_documents(built, docs, asked, 4, 30).collect()}
+    assert len(got & want) > 0.95 * len(want)
+
+
+def test_cost_grows_with_the_beam(spark, base, built):
+    asked = base.where("vec_id % 90 = 0")
+    few, many = (index.search_cost(built, asked, 1, ef).agg(F.avg("hops").alias("h"), F.avg("distances").alias("d")).first() for ef in (10, 80))
+    assert 3 * 10 <= few["h"] < many["h"] and few["d"] < many["d"] <= 3 * 900
+    curve = metrics.sweep(lambda ef: index.search(built, asked, 10, ef), knn.knn(asked, base, 10), 10, (10, 80))
+    assert [c[0] for c in curve] == [10, 80] and curve[0][1] <= curve[1][1] and all(c[2] > 0 for c in curve)
+
+
+def test_blocks_by_degree_cover_and_merges_stop_early(spark, base, built):
+    found = index.blocks(built, by_degree=True).collect()
+    assert sorted(r["member"] for r in found) == list(range(900))
+    assert all((r["member"] in {x["bid"] for x in found}) == (r["member"] == r["bid"]) for r in found)
+    pairs = order.merge_order(spark, "pairwise", 3)
+    every, some = merge.cross_candidates(built, pairs), merge.cross_candidates(built, pairs, stop_ratio=0.5)
+    assert 0 < some.count() < every.count() and some.exceptAll(every).count() == 0
+
+
 def test_blocks_cover_each_node_once(spark, base, built):
     found = index.blocks(built).collect()
     assert sorted(r["member"] for r in found) == list(range(900))

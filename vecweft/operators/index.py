@@ -22,6 +22,7 @@ from .graphs import Graph, padded
 from .knn import RESULT, Queries, by_block, ranked
 
 INDEX = "part_id int, vec_id long, level int, deleted boolean, embedding array<float>, links array<array<long>>"
+INDEX_COLUMNS = ["part_id", "vec_id", "level", "deleted", "embedding", "links"]
 #: Vectors of a partition, at most about so many.
 PART_ROWS = 20_000
 
@@ -160,6 +161,109 @@ def search_linked(index: DataFrame, queries: DataFrame, k: int, ef: int = 50, sp
     return ranked(pool.select("q_id", "vec_id", "dist"), k)
 
 
+def search_cost(index: DataFrame, queries: DataFrame, k: int, ef: int = 50, space: str = "l2", q_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(q_id, hops, distances): nodes explored and distances computed by ``search``, over all partitions."""
+    check_space(space)
+
+    def of(block: Queries) -> DataFrame:
+        def run(table: pa.Table) -> pa.Table:
+            graph = graph_of(table, space)
+            graph.search(block.rows, max(ef, k))
+            return pa.table({"q_id": block.ids, "hops": graph.hops, "distances": graph.computed})
+
+        return index.groupBy("part_id").applyInArrow(run, "q_id long, hops long, distances long")
+
+    return by_block(queries, space, q_id, vector, of, "q_id long, hops long, distances long").groupBy("q_id").agg(F.sum("hops").alias("hops"), F.sum("distances").alias("distances"))
+
+
+def search_radius(index: DataFrame, queries: DataFrame, epsilon: float, min_num: int = 16, max_num: int | None = None, space: str = "l2", q_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(q_id, rank, vec_id, dist): vectors within ``epsilon``, closest first, by beams over the graphs: each begins with ``min_num``
+    nodes and widens until it reaches beyond the radius (or holds ``max_num``). ``knn.radius`` is exact."""
+    check_space(space)
+
+    def of(block: Queries) -> DataFrame:
+        def run(table: pa.Table) -> pa.Table:
+            graph = graph_of(table, space)
+            full = max_num or len(graph.ids)
+            found = graph.widened(block.rows, min(min_num, max(1, full)), lambda places, dist: (dist[:, -1] > epsilon) | (dist.shape[1] >= full))
+            rows = [(np.full(inside.sum(), q), graph.ids[places[inside]], dist[inside]) for q, (places, dist) in zip(block.ids, found, strict=True) for inside in [dist <= epsilon]]
+            q, v, d = (np.concatenate(x) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            return pa.table({"q_id": q.astype(np.int64), "vec_id": v, "dist": d})
+
+        return _marked(index, None).groupBy("part_id").applyInArrow(run, FOUND)
+
+    found = by_block(queries, space, q_id, vector, of, FOUND).withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy("dist", "vec_id")))
+    return (found if max_num is None else found.where(F.col("rank") <= max_num)).select("q_id", "rank", "vec_id", "dist")
+
+
+def search_documents(index: DataFrame, documents: DataFrame, queries: DataFrame, num_docs: int, ef_collection: int = 50, space: str = "l2", q_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(q_id, rank, vec_id, doc_id, dist): the longest closest-first run that touches at most ``num_docs`` documents, of what beams
+    over the graphs find: each widens until it holds ``ef_collection`` documents. ``documents`` has vec_id and doc_id;
+    ``knn.document_search`` is exact."""
+    check_space(space)
+    rows = _marked(index, None).join(documents.select("vec_id", F.col("doc_id").cast("long").alias("doc_id")), "vec_id")
+
+    def of(block: Queries) -> DataFrame:
+        def run(table: pa.Table) -> pa.Table:
+            graph = graph_of(table, space)
+            order = np.argsort(table["vec_id"].to_numpy(), kind="stable")
+            docs = table["doc_id"].to_numpy()[order]
+            wanted = min(max(ef_collection, num_docs + 1), len(np.unique(docs)))
+            some = lambda places: np.array([len(np.unique(docs[p[p != -1]])) >= wanted for p in places], bool)
+            found = graph.widened(block.rows, max(ef_collection, 1), lambda places, dist: some(places))
+            kept = [(np.full(len(p), q), graph.ids[p], docs[p], d) for q, (p, d) in zip(block.ids, found, strict=True)]
+            q, v, o, d = (np.concatenate(x) for x in zip(*kept, strict=True)) if kept else (np.zeros(0, np.int64),) * 3 + (np.zeros(0),)
+            return pa.table({"q_id": q.astype(np.int64), "vec_id": v, "doc_id": o, "dist": d})
+
+        return rows.groupBy("part_id").applyInArrow(run, "q_id long, vec_id long, doc_id long, dist double")
+
+    found = by_block(queries, space, q_id, vector, of, "q_id long, vec_id long, doc_id long, dist double")
+    closest = Window.partitionBy("q_id").orderBy("dist", "vec_id")
+    new = F.row_number().over(Window.partitionBy("q_id", "doc_id").orderBy("dist", "vec_id")) == 1
+    counted = found.withColumn("new", new.cast("int")).withColumn("docs", F.sum("new").over(closest)).withColumn("rank", F.row_number().over(closest))
+    return counted.where(F.col("docs") <= num_docs).select("q_id", "rank", "vec_id", "doc_id", "dist")
+
+
+def add(index: DataFrame, vectors: DataFrame, settings: Settings = Settings(), vector: str = "embedding") -> DataFrame:
+    """The index with the vectors (vec_id, embedding) added. New ids are dealt over the partitions by a hash and linked to what a search
+    finds; those that are there get the new vector, their neighbours repair their links, and they are linked anew; deletion
+    marks are undone. Partitions that get nothing keep their rows. Ids of ``vectors`` must be unique."""
+    spark = index.sparkSession
+    parts = [r[0] for r in index.select("part_id").distinct().orderBy("part_id").collect()] or [0]
+    numbers = F.array(*(F.lit(p) for p in parts))
+    level = level_of(F.col("vec_id"), settings.m, settings.seed) if settings.hierarchical else F.lit(0)
+    new = vectors.where(F.col("vec_id").isNotNull() & F.col(vector).isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col(vector).cast("array<float>").alias("v"))
+    new = new.join(index.select("vec_id", F.col("part_id").alias("at")), "vec_id", "left")
+    part = F.coalesce("at", F.try_element_at(numbers, (F.pmod(F.xxhash64("vec_id", F.lit(settings.seed)), F.lit(len(parts))) + 1).cast("int")))
+    new = new.select("vec_id", "v", part.cast("int").alias("part"), F.col("at").isNotNull().alias("there"), level.alias("level"))
+
+    def run(key: tuple, own: pa.Table, new: pa.Table) -> pa.Table:
+        if not new.num_rows:
+            return own.select(INDEX_COLUMNS)
+        ids, fresh = new["vec_id"].to_numpy(), ~new["there"].to_numpy(zero_copy_only=False).astype(bool)
+        rows, levels = arrays(new["v"]), new["level"].to_numpy().astype(np.int64)
+        if own.num_rows:
+            graph = graph_of(own, settings.space)
+            deleted = own["deleted"].to_numpy(zero_copy_only=False).astype(bool)[np.argsort(own["vec_id"].to_numpy(), kind="stable")]
+            plain = arrays(own["embedding"])[np.argsort(own["vec_id"].to_numpy(), kind="stable")]
+            graph.shown = None
+        else:
+            graph, deleted, plain = Graph(np.zeros(0, np.int64), np.zeros((0, rows.shape[1])), settings.space), np.zeros(0, bool), np.zeros((0, rows.shape[1]))
+        vectors_of, gone = dict(zip(graph.ids.tolist(), plain, strict=True)), dict(zip(graph.ids.tolist(), deleted.tolist(), strict=True))
+        vectors_of.update(zip(ids.tolist(), rows, strict=True))
+        gone.update(dict.fromkeys(ids.tolist(), False))
+        if (~fresh).any():
+            order = np.argsort(ids[~fresh], kind="stable")
+            graph = graph.updated(np.searchsorted(graph.ids, ids[~fresh][order]), rows[~fresh][order], settings.m, settings.ef_construction)
+        if fresh.any():
+            graph = graph.inserted(ids[fresh], rows[fresh], levels[fresh], settings.m, settings.ef_construction)
+        found = graph.ids.tolist()
+        embedding = pa.array([vectors_of[i].astype(np.float32) for i in found], pa.list_(pa.float32()))
+        return pa.table({"part_id": pa.array(np.full(len(found), key[0].as_py()), pa.int32()), "vec_id": graph.ids, "level": pa.array(graph.levels.astype(np.int32)), "deleted": pa.array([gone[i] for i in found]), "embedding": embedding, "links": graph.nested_links()})
+
+    return index.select(INDEX_COLUMNS).groupBy("part_id").cogroup(new.groupBy("part")).applyInArrow(run, INDEX) if vectors.take(1) else spark.createDataFrame([], INDEX).unionByName(index.select(INDEX_COLUMNS))
+
+
 def edges(index: DataFrame, level: int | None = 0) -> DataFrame:
     """(part_id, level, src, dst) of the index's links, of one level or of all."""
     rows = index.select("part_id", F.col("vec_id").alias("src"), F.posexplode("links").alias("level", "to"))
@@ -167,12 +271,12 @@ def edges(index: DataFrame, level: int | None = 0) -> DataFrame:
     return rows.select("part_id", "level", "src", F.explode("to").alias("dst"))
 
 
-def blocks(index: DataFrame, self_ef: int = 3, space: str = "l2") -> DataFrame:
-    """(part_id, bid, member): the greedy cover of each partition; a centre is a member of its own block."""
+def blocks(index: DataFrame, self_ef: int = 3, space: str = "l2", by_degree: bool = False) -> DataFrame:
+    """(part_id, bid, member): the greedy cover of each partition, or the simpler one by degree; a centre is a member of its own block."""
 
     def run(table: pa.Table) -> pa.Table:
         graph = graph_of(table, space)
-        found = [(int(graph.ids[c]), int(graph.ids[x])) for c, members in graph.blocks(self_ef).items() for x in [c, *members]]
+        found = [(int(graph.ids[c]), int(graph.ids[x])) for c, members in (graph.blocks_by_degree if by_degree else graph.blocks)(self_ef).items() for x in [c, *members]]
         part = table["part_id"][0].as_py()
         return pa.table({"part_id": pa.array([part] * len(found), pa.int32()), "bid": pa.array([b for b, _ in found], pa.int64()), "member": pa.array([x for _, x in found], pa.int64())})
 
