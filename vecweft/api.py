@@ -1,28 +1,32 @@
 """``Index`` and ``FlatIndex``: a vector index with the calls of an in-process library, over Spark tables.
 
-Both hold an immutable table (vec_id, embedding, deleted) that each change replaces; ``Index`` builds a graph for each
-partition when it is first searched after a change. Calls take and return NumPy arrays or DataFrames: arrays are for
+Both hold an immutable table (vec_id, embedding, deleted) that each change replaces, written in the session's shared folder;
+``Index`` builds a graph for each partition when it is first searched, and adds later insertions to it. Calls take and return NumPy arrays or DataFrames: arrays are for
 interactive sizes, ``knn`` over DataFrames is for large ones. ``num_threads`` is accepted and has no effect.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable, Iterable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .functions.vector import check_space
 from .operators import index as ann
-from .operators import knn, partition, tables
+from .operators import knn, metrics, partition, tables
+from .storage import written
 
 VECTORS = "vec_id long, embedding array<float>, deleted boolean"
 #: Version of saved state.
-VERSION = 1
+VERSION = 2
+#: A graph to which so many times its vectors have been added is built anew, in more partitions.
+MOST_GROWTH = 2
 
 
 def as_matrix(data) -> np.ndarray:
@@ -48,11 +52,17 @@ def as_ids(ids, rows: int, first: int) -> list[int]:
 
 
 def condition(filter: Callable[[int], bool] | Column | Iterable[int] | None, id_col: str = "vec_id") -> Column | None:
-    """A filter as a Column: itself, membership in a set of ids, or a Python predicate of the id (the slow way)."""
+    """A filter as a Column: itself, membership in a set of ids, or a Python predicate of the id, called for each id of an Arrow
+    batch (the slow way: prefer a Column)."""
     if filter is None or isinstance(filter, Column):
         return filter
     if callable(filter):
-        return F.udf(lambda i: bool(filter(i)), T.BooleanType())(F.col(id_col))
+
+        @F.arrow_udf("boolean")
+        def allowed(ids: pa.Array) -> pa.Array:
+            return pa.array([i is not None and bool(filter(i)) for i in ids.to_pylist()], pa.bool_())
+
+        return allowed(F.col(id_col))
     return F.col(id_col).isin([int(i) for i in filter])
 
 
@@ -79,11 +89,8 @@ class _Table:
         self._set(self.spark.createDataFrame([], VECTORS))
 
     def _set(self, table: DataFrame) -> None:
-        # Each change is evaluated once; the block manager keeps it, and lineage recomputes what is lost.
-        old, self.vectors = self.vectors, table.select("vec_id", "embedding", "deleted").persist()
-        self.vectors.count()
-        if old is not None:
-            old.unpersist()
+        # Each change is evaluated once and written, which cuts its lineage and survives a lost executor.
+        self.vectors = written(table.select("vec_id", "embedding", "deleted"), "vectors")
 
     def _frame(self, data, ids) -> tuple[DataFrame, int]:
         if isinstance(data, DataFrame):
@@ -130,25 +137,34 @@ class _Table:
         return self.spark.createDataFrame([(int(i),) for i in np.atleast_1d(np.asarray(ids)).tolist()], "vec_id long")
 
     def _save(self, path: str, state: dict) -> None:
-        self._ready().write.mode("overwrite").parquet(f"{path}/vectors")
-        state = {"version": VERSION, "space": self.space, "dim": self.dim, "max_elements": self.max_elements, "next": self._next} | state
-        self.spark.createDataFrame([(json.dumps(state),)], "state string").coalesce(1).write.mode("overwrite").text(f"{path}/state")
+        # Tables of one save lie in a folder of their own, and the state names it: a save to the path that was loaded never
+        # overwrites what is being read, and one that fails leaves the last.
+        folder = f"{path}/{uuid.uuid4().hex}"
+        self._ready().write.parquet(f"{folder}/vectors")
+        if "graph" in state:
+            state.pop("graph").write.parquet(f"{folder}/graph")
+        state = {"version": VERSION, "space": self.space, "dim": self.dim, "max_elements": self.max_elements, "next": self._next, "folder": folder.rpartition("/")[2], "at": time.time()} | state
+        self.spark.createDataFrame([(json.dumps(state),)], "state string").coalesce(1).write.mode("append").text(f"{path}/state")
+
+    def _state_at(self, path: str) -> dict:
+        """The last state that was saved: there are as many as saves to the path."""
+        return max((json.loads(r[0]) for r in self.spark.read.text(f"{path}/state").collect()), key=lambda s: s["at"])
 
     def _load(self, path: str, max_elements: int) -> dict:
-        state = json.loads(self.spark.read.text(f"{path}/state").first()[0])
+        state = self._state_at(path)
         if state["version"] != VERSION or state["space"] != self.space or state["dim"] != self.dim:
             raise ValueError(f"{path} holds version {state['version']}, space {state['space']}, dimension {state['dim']}")
-        table = self.spark.read.schema(VECTORS).parquet(f"{path}/vectors")
+        table = self.spark.read.schema(VECTORS).parquet(f"{path}/{state['folder']}/vectors")
         self.max_elements, self._next = max(max_elements, state["max_elements"]), state["next"]
         if max_elements and table.count() > max_elements:
             raise RuntimeError("max_elements is below the number of elements")
-        self.vectors = None
         self._set(table)
         return state
 
     def index_file_size(self, path: str) -> int:
         """Bytes of the files of a saved index."""
-        return self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).agg(F.sum("length")).first()[0]
+        folder = f"{path}/{self._state_at(path)['folder']}"
+        return self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([folder, f"{path}/state"]).agg(F.sum("length")).first()[0]
 
 
 class FlatIndex(_Table):
@@ -201,11 +217,6 @@ class Index(_Table):
 
     def _set(self, table: DataFrame) -> None:
         super()._set(table)
-        self._drop_graph()
-
-    def _drop_graph(self) -> None:
-        if self._graph is not None:
-            self._graph.unpersist()
         self._graph = None
 
     @property
@@ -228,12 +239,12 @@ class Index(_Table):
         self._ef = int(ef)
 
     def graph(self) -> DataFrame:
-        """The index table, built if the vectors changed."""
+        """The index table: built when first searched; later insertions are added to it."""
         if self._graph is None:
             table = self._ready()
             parts = self.parts or ann.parts_for(table.count())
             placed = partition.random_partition(table, parts) if parts > 1 else table.withColumn("part_id", F.lit(0))
-            self._graph = ann.build(placed, self.settings).persist()
+            self._graph = written(ann.build(placed, self.settings), "graph")
         return self._graph
 
     def add_items(self, data, ids=None, num_threads: int = -1, replace_deleted: bool = False) -> None:
@@ -249,7 +260,10 @@ class Index(_Table):
             return
         if self.allow_replace_deleted and (gone := new.join(table.where("deleted"), "vec_id", "left_semi").first()):
             raise RuntimeError(f"{gone['vec_id']} is deleted, and its slot may be taken; insert with replace_deleted")
+        graph = self._graph
         self._checked(tables.upsert(table.withColumn("version", F.lit(0)), new.withColumns({"deleted": F.lit(False), "version": F.lit(1)})))
+        if graph is not None and self.get_current_count() <= MOST_GROWTH * graph.count():
+            self._graph = written(ann.add(graph, new, self.settings), "graph")
 
     def knn_query(self, data, k: int = 1, num_threads: int = -1, filter=None):
         """(labels, distances), closest first; for a DataFrame of queries (vec_id, embedding) the rows of the result."""
@@ -271,11 +285,18 @@ class Index(_Table):
         """All ids, deleted ones included."""
         return [r[0] for r in self._ready().select("vec_id").orderBy("vec_id").collect()]
 
+    def _mark(self, change: Callable[[DataFrame, DataFrame], DataFrame], id: int) -> None:
+        graph, ids = self._graph, self._ids(id)
+        self._set(change(self._ready(), ids))
+        if graph is not None:
+            self._graph = written(change(graph, ids), "graph")
+
     def mark_deleted(self, id: int) -> None:
-        self._set(tables.mark_deleted(self._ready(), self._ids(id)))
+        """Deleted vectors keep their links, and are not returned."""
+        self._mark(tables.mark_deleted, id)
 
     def unmark_deleted(self, id: int) -> None:
-        self._set(tables.unmark_deleted(self._ready(), self._ids(id)))
+        self._mark(tables.unmark_deleted, id)
 
     def resize_index(self, new_size: int) -> None:
         if new_size < self.get_current_count():
@@ -287,18 +308,20 @@ class Index(_Table):
 
     def save_index(self, path: str) -> None:
         """Vectors, state and the graph, as tables in a folder."""
-        self.graph().write.mode("overwrite").parquet(f"{path}/graph")
-        self._save(path, self._state())
+        self._save(path, self._state() | {"graph": self.graph()})
 
     def load_index(self, path: str, max_elements: int = 0, allow_replace_deleted: bool = False) -> None:
         state = self._load(path, max_elements)
         self.settings = ann.Settings(self.space, state["m"], state["ef_construction"], state["seed"])
         self._ef, self.allow_replace_deleted = state["ef"], allow_replace_deleted
-        graph = self.spark.read.schema(ann.INDEX).parquet(f"{path}/graph")
+        graph = self.spark.read.schema(ann.INDEX).parquet(f"{path}/{state['folder']}/graph")
         lost = graph.select("vec_id").exceptAll(self.vectors.select("vec_id")).first()
         if lost is not None or graph.count() != self.vectors.count():
             raise ValueError(f"{path}: the graph and the vectors differ")
-        self._graph = graph.persist()
+        wrong = metrics.integrity(ann.edges(graph, None), self.vectors).where("violations > 0 and rule in ('unknown_node', 'self_link')").first()
+        if wrong is not None:
+            raise ValueError(f"{path}: {wrong['violations']} links break the rule {wrong['rule']}")
+        self._graph = graph
 
     def get_params(self) -> dict:
         """The whole state as plain values, for pickling; for interactive sizes."""
@@ -341,6 +364,30 @@ class LazyIndex(Index):
     def knn_query(self, data, k: int = 1, num_threads: int = -1, filter=None):
         return ([], []) if self.vectors is None else super().knn_query(data, k, num_threads, filter)
 
+    def get_items(self, ids, return_type: str = "numpy"):
+        """Before the first insertion no id is there; none asked for is an empty answer."""
+        if self.vectors is None:
+            if len(ids):
+                raise KeyError(f"id {ids[0]} not found")
+            return np.zeros((0, self.dim), np.float32) if return_type == "numpy" else []
+        return super().get_items(ids, return_type)
+
+    def get_ids_list(self) -> list[int]:
+        return [] if self.vectors is None else super().get_ids_list()
+
+    def get_current_count(self) -> int:
+        return 0 if self.vectors is None else super().get_current_count()
+
+    def resize_index(self, new_size: int) -> None:
+        """Before the first insertion it sets the size to begin with."""
+        if self.vectors is None:
+            self.initial = (int(new_size), *self.initial[1:])
+        else:
+            super().resize_index(new_size)
+
+    def get_max_elements(self) -> int:
+        return self.initial[0] if self.vectors is None else super().get_max_elements()
+
 
 class ObjectIndex:
     """An index whose results are arbitrary Python objects, kept beside their ids."""

@@ -7,13 +7,14 @@ Elements: ``f4`` (float), ``i4`` (int), ``u1`` (unsigned byte). By suffix: .fvec
 Reading splits a file into byte ranges of whole records; rows are (vec_id, embedding), numbered over the sorted files of
 the path. Options: ``layout``, ``element``, ``dim``, ``startIdx``, ``chunkSize`` (clamped to what is there), ``mode``
 (``FAILFAST`` raises on a truncated or uneven file, ``DROPMALFORMED`` drops a truncated last record, and reads ``vecs`` records
-of different dimension one after the other). Writing needs vec_id and embedding in one sorted partition. Paths go
-through pyarrow's file systems, so they can be URIs of a store.
+of different dimension one after the other). Writing takes vec_id and embedding in partitions that are sorted and do not overlap
+(``write_vectors`` makes such). Paths go through pyarrow's file systems, so they can be URIs of a store.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
@@ -168,58 +170,73 @@ class VectorReader(DataSourceReader):
 
 @dataclass
 class Written(WriterCommitMessage):
+    """A part file: its first id, how many vectors and of what dimension."""
+
     path: str | None
+    first_id: int = 0
+    records: int = 0
+    dim: int = 0
 
 
 class VectorWriter(DataSourceWriter):
-    """One file; the rows come in one partition, in the order of their ids."""
+    """Each task streams its rows, in the order of their ids, into a part file of its own; the commit lays the parts end to end, by
+    their first ids, in one file. A task that is tried again or twice writes another part; only those committed count."""
 
     def __init__(self, path: str, options: dict, overwrite: bool):
         self.path, self.overwrite = path, overwrite
         self.layout, self.element = kind_of(path, options)
+        system, plain = opened(path)
+        if not overwrite and system.get_file_info(plain).type != fs.FileType.NotFound:
+            raise FileExistsError(path)
+        self.folder = f"{plain}.parts-{uuid.uuid4().hex}"
+        system.create_dir(self.folder)
 
     def write(self, rows: Iterator) -> Written:
-        system, plain = opened(self.path)
-        if not self.overwrite and system.get_file_info(plain).type != fs.FileType.NotFound:
-            raise FileExistsError(self.path)
-        body, n, dim = [], 0, None
-        for row in rows:
-            values = np.asarray(row["embedding"])
-            if values.ndim != 1:
-                raise ValueError("vectors are one-dimensional")
-            if self.element == "u1" and len(values) and (values.min() < 0 or values.max() > 255):
-                raise ValueError("bytes lie in 0..255")
-            dim = len(values) if dim is None else dim
-            if len(values) != dim:
-                raise ValueError(f"vector {n} has {len(values)} components, not {dim}")
-            body.append((struct.pack("<i", dim) if self.layout == "vecs" else b"") + values.astype(self.element).tobytes())
-            n += 1
-        if not n:
-            return Written(None)
-        with system.open_output_stream(plain + ".part") as f:
-            if self.layout == "bin":
-                f.write(struct.pack("<ii", n, dim))
-            for record in body:
-                f.write(record)
-        return Written(plain)
+        system, _ = opened(self.path)
+        out, done, held = None, Written(None), []
+        try:
+            for row in rows:
+                values = np.asarray(row["embedding"])
+                if values.ndim != 1:
+                    raise ValueError("vectors are one-dimensional")
+                if self.element == "u1" and len(values) and (values.min() < 0 or values.max() > 255):
+                    raise ValueError("bytes lie in 0..255")
+                if out is None:
+                    done = Written(f"{self.folder}/{uuid.uuid4().hex}", int(row["vec_id"]), 0, len(values))
+                    out = system.open_output_stream(done.path)
+                if len(values) != done.dim:
+                    raise ValueError(f"vector {row['vec_id']} has {len(values)} components, not {done.dim}")
+                held.append((struct.pack("<i", done.dim) if self.layout == "vecs" else b"") + values.astype(self.element).tobytes())
+                done.records += 1
+                if len(held) == 1024:
+                    out.write(b"".join(held))
+                    held.clear()
+            if out is not None:
+                out.write(b"".join(held))
+        finally:
+            if out is not None:
+                out.close()
+        return done
 
     def commit(self, messages: list[Written | None]) -> None:
-        done = [m.path for m in messages if m is not None and m.path]
-        if len(done) > 1:
-            raise ValueError("write vector files from one partition: use write_vectors")
+        parts = sorted((m for m in messages if m is not None and m.path), key=lambda m: m.first_id)
+        if len({m.dim for m in parts}) > 1:
+            raise ValueError(f"vectors have {sorted({m.dim for m in parts})} components")
         system, plain = opened(self.path)
-        if done:
-            system.move(plain + ".part", plain)
-        elif self.layout == "bin":
-            with system.open_output_stream(plain) as f:
-                f.write(struct.pack("<ii", 0, 0))
-        else:
-            system.open_output_stream(plain).close()
+        with system.open_output_stream(f"{self.folder}/whole") as f:
+            if self.layout == "bin":
+                f.write(struct.pack("<ii", sum(m.records for m in parts), parts[0].dim if parts else 0))
+            for part in parts:
+                with system.open_input_stream(part.path) as data:
+                    while block := data.read(READ):
+                        f.write(block)
+        system.move(f"{self.folder}/whole", plain)
+        system.delete_dir(self.folder)
 
     def abort(self, messages: list[Written | None]) -> None:
-        system, plain = opened(self.path)
-        if system.get_file_info(plain + ".part").type != fs.FileType.NotFound:
-            system.delete_file(plain + ".part")
+        system, _ = opened(self.path)
+        if system.get_file_info(self.folder).type != fs.FileType.NotFound:
+            system.delete_dir(self.folder)
 
 
 class VectorFiles(DataSource):
@@ -248,8 +265,40 @@ def read_vectors(spark: SparkSession, path: str, **options):
 
 
 def write_vectors(df, path: str, mode: str = "overwrite", **options) -> None:
-    """One file of the vectors in order of vec_id. A table beyond one task's memory belongs in Parquet, or in one file for
-    each partition."""
+    """One file of the vectors in order of vec_id, written in parts by ranges of it."""
     register(df.sparkSession)
-    ordered = df.select("vec_id", "embedding").repartition(1).sortWithinPartitions("vec_id")
+    ordered = df.select("vec_id", "embedding").repartitionByRange("vec_id").sortWithinPartitions("vec_id")
     ordered.write.format("vecweft.vecfile").options(**options).mode(mode).save(path)
+
+
+def write_truth(found, ids_path: str, dist_path: str) -> None:
+    """Results (q_id, rank, vec_id, dist) as a file of neighbour ids and one of distances, a row for each query in order of q_id."""
+    lists = F.sort_array(F.collect_list(F.struct("rank", "vec_id", "dist")))
+    rows = found.groupBy("q_id").agg(lists.alias("near")).select(F.col("q_id").alias("vec_id"), F.transform("near", lambda x: x["vec_id"].cast("int")).alias("ids"), F.transform("near", lambda x: x["dist"].cast("float")).alias("dist"))
+    write_vectors(rows.select("vec_id", F.col("ids").alias("embedding")), ids_path)
+    write_vectors(rows.select("vec_id", F.col("dist").alias("embedding")), dist_path)
+
+
+def read_truth(spark: SparkSession, ids_path: str, dist_path: str | None = None):
+    """(q_id, rank, vec_id, dist) of such files; q_id is the row, dist is null without its file."""
+    ids = read_vectors(spark, ids_path).select(F.col("vec_id").alias("q_id"), F.posexplode("embedding").alias("at", "vec_id"))
+    if dist_path is None:
+        found = ids.withColumn("dist", F.lit(None).cast("double"))
+    else:
+        dist = read_vectors(spark, dist_path).select(F.col("vec_id").alias("q_id"), F.posexplode("embedding").alias("at", "dist"))
+        found = ids.join(dist, ["q_id", "at"])
+    return found.select("q_id", (F.col("at") + 1).alias("rank"), F.col("vec_id").cast("long").alias("vec_id"), F.col("dist").cast("double").alias("dist"))
+
+
+def write_partitions(placed, path: str, suffix: str = ".fvecs", part: str = "part_id") -> list[str]:
+    """A file for each partition, ``path`` with its number and ``suffix``, its vectors in order of vec_id; and ``path`` + suffix with
+    all, partition after partition. Partitions are few; each is written by many tasks."""
+    parts = [r[0] for r in placed.select(part).distinct().orderBy(part).collect()]
+    for number in parts:
+        write_vectors(placed.where(F.col(part) == number), f"{path}{number}{suffix}")
+    place = F.struct(F.col(part), F.col("vec_id"))
+    whole = placed.select(place.alias("at"), "embedding").repartitionByRange("at").sortWithinPartitions("at")
+    register(placed.sparkSession)
+    tagged = whole.select(F.monotonically_increasing_id().alias("vec_id"), "embedding")  # only the order of the parts counts
+    tagged.write.format("vecweft.vecfile").mode("overwrite").save(f"{path}{suffix}")
+    return [f"{path}{number}{suffix}" for number in parts]
