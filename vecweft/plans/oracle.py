@@ -52,11 +52,66 @@ def _rows(pairs: list[tuple[int, int]]) -> str:
     return ", ".join(f"({n}, {a}, {b})" for n, (a, b) in enumerate(pairs))
 
 
-def oracle_sql() -> dict[str, str]:
-    from ..operators.order import CHORDS, TEN
+#: The chords of the ring of 8, and the links of ten partitions.
+CHORDS_OF_8 = [(0, 2), (1, 3), (2, 4), (3, 5), (4, 6), (5, 7), (6, 0), (7, 1), (0, 4), (1, 5), (2, 6), (3, 7)]
+LINKS_OF_10 = [
+    (0, 1), (1, 2), (2, 3), (3, 4), (4, 0), (0, 2), (1, 3), (2, 4), (3, 0), (4, 1), (0, 6), (1, 7), (2, 8), (3, 9), (4, 5),
+    (5, 7), (7, 9), (9, 6), (6, 8), (8, 5), (5, 6), (6, 7), (7, 8), (8, 9), (9, 5), (5, 1), (6, 2), (7, 3), (8, 4), (9, 0),
+    (0, 5), (1, 6), (2, 7), (3, 8), (4, 9),
+]
+
+FLOATS = "list_sum(list_transform({e}, lambda x: x::DOUBLE))"
+WHOLE = "list_sum(list_transform(embedding, lambda x: floor((x::DOUBLE + 1) * 127.5)))::DOUBLE"
+FACTS = (
+    "search finds the nearest", "filtered search returns only what is allowed", "filtered search finds the nearest allowed",
+    *(f"{m} merge: {what}" for m in ("cross", "sliding") for what in ("recall across links", "recall as one", "no broken links", "degrees bounded")),
+    "blocks cover each vector once", "more members than centres are not lost", "concatenation links nothing across", "k-means lowers the cost",
+    "radius search over the graph", "search explores its beam and computes few distances twice", "search after insertion",
+)
+
+
+def totals(name: str, total: str = FLOATS.format(e="embedding"), source: str = "embeddings", row: str = "vec_id") -> str:
+    return f"SELECT '{name}' AS format, {row} AS vec_id, len(embedding)::INT AS dim, round({total}, 4) AS total FROM {source}"
+
+
+#: Edges are in the least spanning tree if no way of cheaper edges joins their ends: the least largest edge of a way, as Floyd and Warshall have it.
+TREE = f"""WITH RECURSIVE c AS (SELECT cid, embedding FROM (SELECT (row_number() OVER (ORDER BY {KEY}, vec_id) - 1)::INT AS cid, embedding FROM embeddings) WHERE cid < 24),
+  cost AS (SELECT q.cid AS i, b.cid AS j, {dist('l2')} AS d FROM c q, c b),
+  ways AS (SELECT 0 AS k, i, j, d FROM cost UNION ALL
+    SELECT w.k + 1, w.i, w.j, least(w.d, greatest(a.d, b.d)) FROM ways w JOIN ways a ON a.k = w.k AND a.i = w.i AND a.j = w.k JOIN ways b ON b.k = w.k AND b.i = w.k AND b.j = w.j WHERE w.k < 24)
+  SELECT (row_number() OVER (ORDER BY c.i, c.j) - 1)::INT AS step, c.i, c.j FROM cost c JOIN ways w ON w.k = 24 AND w.i = c.i AND w.j = c.j WHERE c.i < c.j AND c.d <= w.d"""
+
+
+def surface_sql() -> dict[str, str]:
+    answers = f"""SELECT * FROM (VALUES ('lazy_count', 0.0), ('lazy_items', 0), ('lazy_found', 0), ('max_elements', 1000000), ('M', 8), ('ef', 64), ('ef_construction', 64), ('deleted_found', 0),
+        ('itself_first', 9), ('as_before', 0), ('slot_gone', 0), ('item', 2), ('resized', 2000000), ('saved_bytes', 1)) v(name, value)
+        UNION ALL SELECT 'count', count(*)::DOUBLE FROM embeddings WHERE vec_id < 400 UNION ALL SELECT 'ids', sum(vec_id)::DOUBLE FROM embeddings WHERE vec_id < 400
+        UNION ALL SELECT n, c FROM (SELECT count(*)::DOUBLE AS c FROM embeddings WHERE vec_id < 400), (VALUES ('count_replaced'), ('pickled'), ('copied')) v(n)"""
+    return {
+        "vector_files": " UNION ALL ".join([*(totals(f) for f in (".fvecs", ".fbin")), *(totals(f, WHOLE) for f in (".ivecs", ".ibin", ".bvecs", ".u8bin"))]),
+        "vector_slices": f"{totals('slice')} WHERE vec_id >= 100 AND vec_id < 150 UNION ALL {totals('clamped')} WHERE vec_id >= 450 UNION ALL {totals('raw')}",
+        "truth_files": f"SELECT q_id // 50 AS q_id, rank, vec_id, round(dist, 4) AS dist FROM ({knn(own=True)})",
+        "partition_files": f"{totals('x', source=SPLIT, row='row_number() OVER (PARTITION BY part_id ORDER BY global_id) - 1').replace(chr(39) + 'x' + chr(39), 'part_id::VARCHAR')} UNION ALL {totals('all', source=SPLIT, row='global_id')}",
+        "id_files": f"SELECT 'assignments' AS file, global_id, cid, NULL::BIGINT AS local_id FROM ({OVERLAP}) UNION ALL SELECT f, global_id, cid, local_id FROM ({OVERLAP}), (VALUES ('idmaps'), ('locals')) v(f)",
+        "local_to_global": f"SELECT (w.i % 7)::INT AS cid, w.i AS local_id, o.global_id FROM range(20) w(i) LEFT JOIN ({OVERLAP}) o ON o.cid = w.i % 7 AND o.local_id = w.i",
+        "measurement_files": "SELECT 'curve' AS file, vec_id::INT AS key, vec_id % 5 / 4.0::DOUBLE AS recall, 100.0::DOUBLE - vec_id AS value FROM embeddings WHERE vec_id < 20 UNION ALL SELECT 'log', 0, NULL, 12.5",
+        "timing": "SELECT round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(stddev_pop(value), 6) AS stddev FROM events WHERE value IS NOT NULL",
+        "flat_index_calls": knn(where="b.vec_id % 3 = 0 AND b.vec_id <> 6", own=True),
+        "index_calls": answers,
+        "stream_upserts": "SELECT vec_id, CASE WHEN vec_id % 10 = 3 THEN 3 WHEN vec_id % 7 = 0 THEN 2 ELSE 1 END::BIGINT AS version, vec_id % 10 = 3 AS deleted, CASE WHEN vec_id % 10 <> 3 THEN round(CASE WHEN vec_id % 7 = 0 THEN -1 ELSE 1 END * list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) END AS total FROM embeddings",
+        "normalize_rows": """SELECT vec_id, (pos - 1)::INT AS "at", round(e[pos]::DOUBLE / CASE WHEN n = 0 THEN 1 ELSE n END, 5) + 0.0::DOUBLE AS x FROM (SELECT vec_id, e, unnest(range(1, len(e) + 1)) AS pos, sqrt(list_sum(list_transform(e, lambda y: y::DOUBLE * y::DOUBLE))) AS n
+            FROM (SELECT vec_id, list_transform(embedding, lambda x: (x * (vec_id % 5)::FLOAT)::FLOAT) AS e FROM embeddings))""",
+        "largest_partition": f"SELECT max(n) AS n FROM (SELECT count(*) AS n FROM ({OVERLAP}) GROUP BY cid)",
+        "order_degree": "SELECT 2 * count(*) / 30::DOUBLE AS degree FROM (SELECT DISTINCT least(a.i, (a.i + d.d) % 30) AS i, greatest(a.i, (a.i + d.d) % 30) AS j FROM range(30) a(i), (SELECT unnest(range(1, 13)) AS d UNION SELECT 15) d)",
+        "knn_strict": knn(own=True),
+        "approximate_facts": "SELECT fact, true AS holds FROM (VALUES " + ", ".join(f"('{f}')" for f in FACTS) + ") v(fact)",
+        "order_mst": TREE,
+    }
 
+
+def oracle_sql() -> dict[str, str]:
     spaces = " UNION ALL ".join(f"SELECT *, '{s}' AS space FROM ({knn(s, table=STRETCHED)})" for s in ("l2", "ip", "cosine"))
-    return {
+    return surface_sql() | {
         "knn_l2_exact": knn(),
         "knn_ip_exact": knn("ip"),
         "knn_cosine_exact": knn("cosine"),
@@ -90,12 +145,12 @@ def oracle_sql() -> dict[str, str]:
         "order_pairwise": f"SELECT (row_number() OVER (ORDER BY a.i, b.i) - 1)::INT AS step, a.i::INT AS i, b.i::INT AS j FROM range({PARTS}) a(i), range({PARTS}) b(i) WHERE a.i < b.i",
         "order_path": f"SELECT pos AS step, i, j FROM (SELECT pos, i, lead(i) OVER (ORDER BY pos) AS j FROM {shuffled(PARTS)}) WHERE j IS NOT NULL",
         "order_circle": f"""WITH ways AS (SELECT pos AS n, i, coalesce(lead(i) OVER (ORDER BY pos), first(i) OVER (ORDER BY pos)) AS j FROM {shuffled(8)}
-            UNION ALL SELECT 100 + n, i, j FROM (VALUES {_rows([(0, 2), *CHORDS[8]])}) v(n, i, j)),
+            UNION ALL SELECT 100 + n, i, j FROM (VALUES {_rows(CHORDS_OF_8)}) v(n, i, j)),
             once AS (SELECT * FROM ways QUALIFY row_number() OVER (PARTITION BY least(i, j), greatest(i, j) ORDER BY n) = 1)
             SELECT (row_number() OVER (ORDER BY n) - 1)::INT AS step, i::INT AS i, j::INT AS j FROM once""",
         "order_circulant": """WITH ways AS (SELECT DISTINCT least(a.i, (a.i + d.d) % 30) AS i, greatest(a.i, (a.i + d.d) % 30) AS j FROM range(30) a(i),
             (SELECT unnest(range(1, 13)) AS d UNION SELECT 15) d) SELECT (row_number() OVER (ORDER BY i, j) - 1)::INT AS step, i::INT AS i, j::INT AS j FROM ways""",
-        "order_petersen": f"SELECT n::INT AS step, least(a.i, b.i) AS i, greatest(a.i, b.i) AS j FROM (VALUES {_rows(TEN)}) v(n, x, y) JOIN {shuffled(10)} a ON a.pos = x JOIN {shuffled(10)} b ON b.pos = y",
+        "order_petersen": f"SELECT n::INT AS step, least(a.i, b.i) AS i, greatest(a.i, b.i) AS j FROM (VALUES {_rows(LINKS_OF_10)}) v(n, x, y) JOIN {shuffled(10)} a ON a.pos = x JOIN {shuffled(10)} b ON b.pos = y",
         "knn_graph": f"SELECT part_id, src, rank, dst, round(d, 6) AS dist FROM {GRAPH}",
         "reverse_knn": f"SELECT dst AS vec_id, count(*) AS n, min(src) AS low, max(src) AS high FROM {GRAPH} GROUP BY dst",
         "degree_stats": f"""WITH g AS {GRAPH}, d AS (SELECT e.vec_id, (SELECT count(*) FROM g WHERE src = e.vec_id) AS o, (SELECT count(*) FROM g WHERE dst = e.vec_id) AS i FROM embeddings e)

@@ -14,6 +14,8 @@ from ..storage import written
 from .oracle import M, PARTS
 
 K, EPSILON, MAX_NUM, NUM_DOCS, EVERY = 10, 1.4, 5, 3, 50
+#: Queries of a block of byte vectors.
+QUERY_ROWS = 4096
 SETTINGS = index.Settings("l2", m=8, ef_construction=64)
 
 
@@ -119,8 +121,14 @@ def normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def byte_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = vectors(spark, sf_dir).select("vec_id", F.transform("embedding", lambda x: F.floor((x.cast("double") + 1) * 127.5).cast("int")).alias("b"))
-    # A stated query set against all rows.
-    return F.broadcast(asked(base).select(F.col("vec_id").alias("q_id"), F.col("b").alias("q"))).join(base, F.lit(True)).select("q_id", "vec_id", V.l2_bytes(F.col("q"), F.col("b")).alias("dist"))
+    # A stated query set against all rows: each row is dealt to the blocks of queries, and meets those of its block.
+    queries = asked(base).select(F.col("vec_id").alias("q_id"), F.col("b").alias("q"))
+    blocks = max(1, -(-queries.count() // QUERY_ROWS))
+    queries = queries.withColumn("block", F.pmod(F.xxhash64("q_id"), F.lit(blocks)))
+    gathered = queries.groupBy("block").agg(F.collect_list(F.struct("q_id", "q")).alias("queries"))
+    rows = base.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    pairs = rows.join(F.broadcast(gathered) if blocks == 1 else gathered, "block").select("vec_id", "b", F.explode("queries").alias("one"))
+    return pairs.select("one.q_id", "vec_id", V.l2_bytes(F.col("one.q"), F.col("b")).alias("dist"))
 
 
 def _centroids(base: DataFrame, m: int = M) -> list[list[float]]:

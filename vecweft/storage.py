@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The session's setting of how many rows a Python worker gets at once.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
@@ -28,11 +32,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}/{name}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage, and survives lost executors.
 
-    The tables of a session stay until the folder is cleared, as recovery may read them until the result is used.
+    ``batch_rows`` holds, while it is written, for the batches that Python workers get: rows of long texts or sets come in small
+    ones. The tables of a session stay until the folder is cleared, as recovery may read them until the result is used.
     """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    before = spark.conf.get(BATCH_ROWS)
+    try:
+        if batch_rows:
+            spark.conf.set(BATCH_ROWS, str(min(batch_rows, int(before)) if int(before) > 0 else batch_rows))
+        df.write.parquet(path)
+    finally:
+        if batch_rows:
+            spark.conf.set(BATCH_ROWS, before)
+    return spark.read.schema(df.schema).parquet(path)
