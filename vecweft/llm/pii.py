@@ -3,23 +3,36 @@
 from __future__ import annotations
 
 import datetime
+import functools
 import hashlib
 import re
+import secrets
+import string
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from .common import pieces_of
 
-#: For tests and examples; a deployment passes its own.
-KEY = b"vecweft example key"
+#: The session's setting that holds the key of the query and the pipeline, in hexadecimal digits.
+KEY_SETTING = "spark.vecweft.pii.key"
 ROUNDS = 8
+#: Characters of a value that are permuted together.
+CHARS = 64
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+#: Country calling codes of one and two digits; all others have three.
+CALLING_CODES = {
+    1: "1 7".split(),
+    2: "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split(),
+}
 
+# Each alternative can begin only where a run of its characters begins, or is of bounded length, and runs are not given back: a
+# search is linear in the text.
 _PATTERN = re.compile(
-    r"""(?P<email>[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})
+    r"""(?P<email>(?<![\w.+-])[\w.+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,})
     |(?P<secret>(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\b)["']?\s*[=:]\s*["']?(?P<value>[A-Za-z0-9+/_.~-]{6,}))
     |(?P<aws>\b(?:AKIA|ASIA)[A-Z0-9]{16}\b)
     |(?P<hex>\b(?=[0-9a-f]*\d)(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})\b)
@@ -35,7 +48,7 @@ _PATTERN = re.compile(
 )
 _ANY = re.compile(r"[0-9@]|AKIA|ASIA|(?i:passw|pwd|token|secret|api.?key|access.?key)")
 
-DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+DIGITS, LOWER, UPPER = string.digits, string.ascii_lowercase, string.ascii_uppercase
 HEX = DIGITS + "abcdef"
 
 
@@ -46,33 +59,77 @@ class Permuter:
     def __init__(self, key: bytes):
         self.key = hashlib.blake2b(key, digest_size=32).digest()
 
+    def _rounds(self, n: int, name: str):
+        half = max(1, ((n - 1).bit_length() + 1) // 2)
+        size, tweak = (half + 7) // 8, f"{name}/{n}/".encode()
+
+        def mixed(i: int, side: int) -> int:
+            digest = hashlib.blake2b(tweak + bytes([i]) + side.to_bytes(size, "big"), key=self.key, digest_size=min(64, size + 8)).digest()
+            return int.from_bytes(digest, "big") & (1 << half) - 1
+
+        return half, mixed
+
     def __call__(self, value: int, n: int, name: str) -> int:
         if n < 2:
             return value
-        half = max(1, ((n - 1).bit_length() + 1) // 2)
-        size, mask, tweak = (half + 7) // 8, (1 << half) - 1, f"{name}/{n}/".encode()
+        half, mixed = self._rounds(n, name)
         while True:
-            left, right = value >> half, value & mask
+            left, right = value >> half, value & (1 << half) - 1
             for i in range(ROUNDS):
-                mixed = hashlib.blake2b(tweak + bytes([i]) + right.to_bytes(size, "big"), key=self.key, digest_size=min(64, size + 8)).digest()
-                left, right = right, left ^ (int.from_bytes(mixed, "big") & mask)
+                left, right = right, left ^ mixed(i, right)
             value = left << half | right
             if value < n:
                 return value
 
-    def text(self, text: str, name: str, alphabets: tuple[str, ...] = (DIGITS, LOWER, UPPER)) -> str:
-        """Each character of an alphabet becomes one of the same alphabet; others stay. Equal shapes share a permutation."""
-        places = [(i, a, at) for i, c in enumerate(text) for a in alphabets if (at := a.find(c)) >= 0]
+    def inverse(self, value: int, n: int, name: str) -> int:
+        if n < 2:
+            return value
+        half, mixed = self._rounds(n, name)
+        while True:
+            left, right = value >> half, value & (1 << half) - 1
+            for i in reversed(range(ROUNDS)):
+                left, right = right ^ mixed(i, left), left
+            value = left << half | right
+            if value < n:
+                return value
+
+    def text(self, text: str, name: str, alphabets: tuple[str, ...] | None = None) -> str:
+        """Each character of an alphabet becomes one of the same alphabet; others stay. Equal shapes, that is equal alphabets place by
+        place, share a permutation. The default alphabets are digits and letters: see ``alphabet``. Long texts are permuted in blocks,
+        each by what the blocks before it have become."""
+        if len(text) > CHARS:
+            head = self.text(text[:CHARS], name, alphabets)
+            out = [head]
+            for at in range(CHARS, len(text), CHARS):
+                out.append(self.text(text[at : at + CHARS], f"{name}/{at}/{out[-1]}", alphabets))
+            return "".join(out)
+        if alphabets is None:
+            places = [(i, a) for i, c in enumerate(text) if (a := alphabet(c))]
+        else:
+            places = [(i, a) for i, c in enumerate(text) for a in alphabets if c in a]
         value, n = 0, 1
-        for _, alphabet, at in places:
-            value, n = value * len(alphabet) + at, n * len(alphabet)
+        for i, a in places:
+            value, n = value * len(a) + a.index(text[i]), n * len(a)
         value, out = self(value, n, name), list(text)
-        for i, alphabet, _ in reversed(places):
-            value, at = divmod(value, len(alphabet))
-            out[i] = alphabet[at]
+        for i, a in reversed(places):
+            value, at = divmod(value, len(a))
+            out[i] = a[at]
         return "".join(out)
 
 
+@functools.cache
+def alphabet(character: str) -> str:
+    """What a character may become: ASCII digits, lower-case or upper-case letters, or else the letters and digits of the same
+    Unicode category among the 256 code points around. Empty for a character that stays."""
+    for plain in (DIGITS, LOWER, UPPER):
+        if character in plain:
+            return plain
+    if not character.isalnum() or character.isascii():
+        return ""
+    kind, first = unicodedata.category(character), ord(character) & ~255
+    return "".join(c for c in map(chr, range(max(first, 128), first + 256)) if c.isalnum() and unicodedata.category(c) == kind)
+
+
 def luhn(payload: str) -> str:
     """The check digit that follows."""
     total = sum(sum(divmod(2 * int(c), 10)) if i % 2 == 0 else int(c) for i, c in enumerate(reversed(payload)))
@@ -121,16 +178,16 @@ class Pseudonyms:
         p = self.permute
         if kind == "email":
             local, _, domain = text.rpartition("@")
+            if not any(map(str.isalnum, local)):
+                return None
             return kind, p.text(local, "email/" + domain.lower()) + "@" + domain
         if kind == "secret":
-            value = match["value"]
-            alphabets = (HEX,) if set(value) <= set(HEX) else (DIGITS, LOWER, UPPER)
-            at = match.start("value") - match.start()
-            return kind, text[:at] + p.text(value, "secret", alphabets) + text[at + len(value) :]
+            value, at = match["value"], match.start("value") - match.start()
+            return kind, text[:at] + self._secret(value) + text[at + len(value) :]
         if kind == "aws":
             return kind, text[:4] + p.text(text[4:], "aws", (DIGITS + UPPER,))
         if kind == "hex":
-            return kind, p.text(text, "secret", (HEX,))
+            return kind, self._secret(text)
         if kind == "date":
             new = self._date(text)
             return new and (kind, new)
@@ -172,9 +229,23 @@ class Pseudonyms:
             return kind, f"{areas[area]:03d}-{group + 1:02d}-{serial + 1:04d}"
         if not 7 <= len(plain) <= 15:
             return None
-        head = re.match(r"\+\d{1,3}(?=[ .(-])", text)
-        keep = len(head[0]) - 1 if head else 0
-        return kind, _in_place(text, plain[:keep] + p.text(plain[keep:], "phone", (DIGITS,)))
+        code = next((c for n in (1, 2) if (c := plain[:n]) in CALLING_CODES[n]), plain[:3]) if text[0] == "+" else ""
+        return kind, _in_place(text, code + self._number(plain[len(code) :]))
+
+    def _number(self, digits: str) -> str:
+        """A phone number without its country's code. Zeros at its begin (trunk prefixes) stay, and no other begins with one."""
+        rest = digits.lstrip("0")
+        low = 10 ** (len(rest) - 1) if rest else 0
+        return digits[: len(digits) - len(rest)] + (str(low + self.permute(int(rest) - low, 9 * low, "phone")) if rest else "")
+
+    def _secret(self, value: str) -> str:
+        """Lower-case hexadecimal strings become such, and others never do, so that each shape's images are its own."""
+        if set(value) <= set(HEX):
+            return self.permute.text(value, "secret/hex", (HEX,))
+        while True:
+            value = self.permute.text(value, "secret")
+            if not set(value) <= set(HEX):
+                return value
 
     def rewrite(self, text: str) -> tuple[str, list[tuple[str, int, int]]]:
         """The text with pseudonyms, and (kind, start, end) of each in code points."""
@@ -205,19 +276,32 @@ class Pseudonyms:
         return "".join([*out, text[at:]]), spans
 
 
-def pseudonymise(docs: DataFrame, text_col: str = "text", key: bytes = KEY, details: bool = False) -> DataFrame:
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the session is set to use (KEY_SETTING). Where none is set, a random one is drawn and set, so that values
+    are linked within the session alone."""
+    known = spark.conf.get(KEY_SETTING, None)
+    if not known:
+        known = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, known)
+    return bytes.fromhex(known)
+
+
+def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", details: bool = False) -> DataFrame:
     """``docs``, all columns, with personal data in ``text_col`` replaced by pseudonyms of the same format.
 
     Found are e-mail addresses (the part before the @), secrets after a name such as ``password=``, access
     keys, long hexadecimal tokens, IBANs, dates, IPv4 addresses, social security numbers, payment card and
     phone numbers; those with a check digit, a range or a calendar only if valid, and pseudonyms are as valid.
     Pseudonyms depend on the key, the kind and the value alone, so equal values stay linked across documents
-    and formats, and whoever has the key can invert them. With ``details``, columns pii_count (long) and
+    and formats (phone numbers with or without separators and country code, dates in any order), each shape's values are
+    permuted one to one, and whoever has the key can invert them; an empty key is refused. With ``details``, columns pii_count (long) and
     pii_spans (array of kind, start, end) follow; input columns of these names are replaced.
 
     Null and empty texts stay; whole texts of any length are read; repeated rows get the same pseudonyms; an
     empty table gives an empty result.
     """
+    if not key:
+        raise ValueError("a key is needed")
     extra = ("pii_count", "pii_spans") if details else ()
     docs = docs.drop(*extra)
     names = docs.columns
@@ -240,6 +324,6 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: bytes = KEY, deta
     return docs.mapInArrow(run, schema)
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, key: bytes) -> DataFrame:
     """doc_id, text, pii_count and pii_spans of each document: what the query returns."""
-    return pseudonymise(docs.select("doc_id", "text"), details=True)
+    return pseudonymise(docs.select("doc_id", "text"), key, details=True)

@@ -18,7 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_sharding": lambda s, d: sharding.shard_report(table(s, d, "documents")),
         "op5_exact_dedup": lambda s, d: exact_dedup.exact_dedup(table(s, d, "documents")),
         "op6_langid": lambda s, d: langid.identify(table(s, d, "documents")),
-        "op7_pii": lambda s, d: pii.report(table(s, d, "documents")),
+        "op7_pii": lambda s, d: pii.report(table(s, d, "documents"), pii.session_key(s)),
         "op8_bpe": lambda s, d: bpe.round_trip(table(s, d, "documents")),
         "op9_near_dedup": lambda s, d: near_dedup.near_duplicates(table(s, d, "documents"), words=4),
         "op10_toxicity": lambda s, d: toxicity.score(table(s, d, "documents"), table(s, d, "labels")),
