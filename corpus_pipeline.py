@@ -28,8 +28,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data become pseudonyms of the same format."""
-    return pii.pseudonymise(docs)
+    """Personal data become pseudonyms of the same format, by the session's key."""
+    return pii.pseudonymise(docs, pii.session_key(spark))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
