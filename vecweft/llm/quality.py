@@ -79,7 +79,7 @@ def references(docs: DataFrame, common: int = COMMON) -> DataFrame:
                 words.setdefault(lang, Counter()).update(data.lower().split())
             rows = [(lang, "class", CLASSES[i], int(n)) for lang, found in chars.items() for i, n in enumerate(found) if n]
             rows += [(lang, "words", None, sum(found.values())) for lang, found in words.items()]
-            rows += [(lang, "word", w.decode(), n) for lang, found in words.items() for w, n in found.items() if len(w) <= 64]
+            rows += [(lang, "word", w.decode(), n) for lang, found in words.items() for w, n in found.items()]
             yield pa.RecordBatch.from_pylist([dict(zip(("lang", "kind", "key", "n"), r, strict=True)) for r in rows], pa.schema([("lang", pa.string()), ("kind", pa.string()), ("key", pa.string()), ("n", pa.int64())]))
 
     counts = docs.where("lang is not null").select("text", "lang").mapInArrow(count, "lang string, kind string, key string, n long")
@@ -159,4 +159,4 @@ def rate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
             found = list(zip(*map(one, texts_of(batch)), strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(v, kinds[k]) for v, k in zip(found, names.values(), strict=True))], ["doc_id", *names])
 
-    return slim(docs, id_col, text_col).mapInArrow(run, "doc_id long, " + ", ".join(f"{k} {v}" for k, v in names.items()))
+    return slim(docs, id_col, text_col, whole=True).mapInArrow(run, "doc_id long, " + ", ".join(f"{k} {v}" for k, v in names.items()))
