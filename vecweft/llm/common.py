@@ -2,43 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir, written  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where the session has none (tests, local runs) a temporary one is set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if set_before.isDefined():
-            return set_before.get()
-        folder = tempfile.mkdtemp(prefix="vecweft-")
-        spark.sparkContext.setCheckpointDir(folder)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return folder
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage, and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def slim(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
     """Only id and text, as ``doc_id`` and ``text``: other columns, whatever their names, cannot clash. With ``whole`` ids must be
     integers, and become long."""
@@ -75,7 +51,7 @@ class Memory(dict):
     """Remembers what ``make`` returns for a key. When it holds ``most`` it becomes the last generation, from which keys that
     come again are taken over; so what is frequent stays, and never more than two generations are held."""
 
-    def __init__(self, make: Callable, most: int, largest: int = 1 << 60):
+    def __init__(self, make: Callable, most: int, largest: int | None = None):
         super().__init__()
         self.make, self.most, self.largest, self.last = make, most, largest, {}
 
@@ -83,7 +59,7 @@ class Memory(dict):
         found = self.last.get(key)
         if found is None:
             found = self.make(key)
-            if hasattr(key, "__len__") and len(key) > self.largest:
+            if self.largest and len(key) > self.largest:
                 return found
         if len(self) >= self.most:
             self.last = dict(self)

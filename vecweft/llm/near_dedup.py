@@ -22,6 +22,8 @@ ELEMENTS = 1 << 16
 #: Texts of so many documents at most are looked up by broadcasting their ids; more by a shuffled join.
 BROADCAST_IDS = 500_000
 WORDS_KEPT = 200_000
+#: Rows with texts or sets that a Python worker gets at once.
+TEXTS_AT_ONCE = 1000
 #: Links that one task of union-find takes, at least: rounds between tasks are only for more.
 LINKS_A_TASK = 500_000
 #: Pairs with one node that a task of the verification takes; more are dealt over several.
@@ -30,8 +32,8 @@ PAIRS_A_TASK = 5000
 BLOCK, ROW_COST = 400_000, 64
 #: Words of 64 bits that bound the intersection of two sets; the second for sets of more than 8 shingles a word of the first.
 FEW_WORDS, MANY_WORDS = 64, 1024
-#: Rows that a task gathers before it compares them, and pairs that it looks at together.
-ROWS_AT_ONCE, PAIRS_AT_ONCE = 2000, 1 << 19
+#: Rows that a task gathers before it compares them, pairs that it looks at together, and words of bits that it reads at once.
+ROWS_AT_ONCE, PAIRS_AT_ONCE, WORDS_AT_ONCE = 2000, 1 << 18, 1 << 19
 
 _STEP = 0x9E3779B97F4A7C15
 _GOLDEN, _A, _B = np.uint64(_STEP), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -277,8 +279,9 @@ class Cells:
     def bounded(self, bits: np.ndarray, size: np.ndarray, l: np.ndarray, r: np.ndarray) -> np.ndarray:  # noqa: E741
         """Which pairs may be similar enough."""
         fine = []
-        for at in range(0, len(l), 1 << 14):
-            i, j = l[at : at + (1 << 14)], r[at : at + (1 << 14)]
+        step = max(1, WORDS_AT_ONCE // bits.shape[1])
+        for at in range(0, len(l), step):
+            i, j = l[at : at + step], r[at : at + step]
             x, y = bits[i], bits[j]
             only_x, only_y = (np.bitwise_count(d).sum(1, dtype=np.int64) for d in (x & ~y, y & ~x))
             fine.append(self.similar(np.minimum(size[i] - only_x, size[j] - only_y), size[i], size[j]))
@@ -399,23 +402,22 @@ def across(rows: DataFrame, percent: int) -> DataFrame:
 
 def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """doc_id, text_hash, n_shingles, node (a number of the group, null without shingles) and component_id of each document."""
-    sketches = written(sketch(docs, words), "sketches")
+    sketches = written(sketch(docs, words), "sketches", TEXTS_AT_ONCE)
     some = sketches.where("n_shingles > 0")
     classes = (
         some.groupBy("set_id", "salt").agg(F.min("doc_id").alias("doc_id"))
         .groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.bit_or(F.expr("shiftleft(1L, cast(salt as int))")).alias("salts"))
     )
-    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-
     key = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key")
-    reps = some.select("set_id", key, "doc_id", "text_hash", "n_shingles", "bands").join(classes.select("set_id", key, "node"), ["set_id", "key"]).dropDuplicates(["set_id", "key"])
-    reps = written(reps.select("node", "doc_id", "text_hash", "n_shingles", "bands"), "reps")
+    first = classes.select("set_id", key, "salts")
+    reps = some.select("set_id", key, "doc_id", "text_hash", "n_shingles", "bands").join(first, ["set_id", "key"]).dropDuplicates(["set_id", "key"])
+    reps = written(reps.drop("key").withColumn("node", F.monotonically_increasing_id()), "classes")
     places = reps.select("node", "doc_id", "text_hash")
     bands = reps.select("node", "n_shingles", F.posexplode("bands").alias("place", "band"))
     hubs = bands.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     shared = written(bands.join(hubs, "band"), "shared")
-    stars = written(shared.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "stars")
-    links = written(verified(stars, places, docs, words, percent), "links")
+    stars = shared.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    links = written(verified(stars, places, docs, words, percent), "links", TEXTS_AT_ONCE)
     found = components(links)
 
     placed = shared.drop("hub").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -423,12 +425,12 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     mixed = parts.groupBy("band").agg(F.max_by("component", "size").alias("main"), F.sum("size").alias("total"), F.max("size").alias("most")).where("total > most")
     mixed = mixed.selectExpr("band", "main", f"ceil((total - most) / {BLOCK}) as u_blocks", f"ceil(total / {BLOCK}) as v_blocks")
     members = written(placed.join(mixed, "band"), "members")
-    more = written(across(cells(members, places, docs, words), percent), "more")
+    more = written(across(cells(members, places, docs, words), percent), "more", TEXTS_AT_ONCE)
     if more.take(1):
-        links = written(links.unionByName(verified(more, places, docs, words, percent)), "all_links")
+        links = written(links.unionByName(verified(more, places, docs, words, percent)), "all_links", TEXTS_AT_ONCE)
         found = components(links)
 
-    groups = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    groups = reps.select("node", "set_id", "doc_id", "salts").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = groups.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     salts = F.explode(F.expr(f"filter(sequence(0L, {SALTS - 1}L), s -> (shiftright(salts, cast(s as int)) & 1L) = 1L)")).alias("salt")
     groups = groups.join(least, "component").select("set_id", F.col("component").alias("node"), "component_id", salts)
