@@ -32,13 +32,13 @@ def test_partitions_and_orders(spark, files):
     whole = [tuple(r["embedding"]) for r in vecfiles.read_vectors(spark, f"{folder}/part.fvecs").orderBy("vec_id").collect()]
     parts = [tuple(r["embedding"]) for i in range(3) for r in vecfiles.read_vectors(spark, f"{folder}/part{i}.fvecs").orderBy("vec_id").collect()]
     assert whole == parts and sorted(whole) == sorted(tuple(r["embedding"]) for r in base.collect())
-    run(spark, "partition-kmeans", num_clusters=3, db=f"{folder}/base.fvecs", out=f"{folder}/km")
+    run(spark, "partition-kmeans", iterations=2, num_clusters=3, db=f"{folder}/base.fvecs", out=f"{folder}/km")
     assert vecfiles.read_vectors(spark, f"{folder}/km.fvecs").count() == 400
-    run(spark, "partition-overlap", num_clusters=4, db=f"{folder}/base.fvecs", out=f"{folder}/over")
+    run(spark, "partition-overlap", iterations=2, num_clusters=4, db=f"{folder}/base.fvecs", out=f"{folder}/over")
     placed = idfiles.read_idmaps(spark, f"{folder}/over.idmaps")
     assert placed.count() == 800 and placed.exceptAll(idfiles.read_locals(spark, f"{folder}/over.locals")).count() == 0
     for program in ("order-mst", "order-2hop"):
-        run(spark, program, num_clusters=5, db=f"{folder}/base.fvecs", out=f"{folder}/{program}.fvecs")
+        run(spark, program, iterations=2, num_clusters=5, db=f"{folder}/base.fvecs", out=f"{folder}/{program}.fvecs")
     matrix = cli.order.read_matrix(spark, f"{folder}/order-mst.fvecs")
     assert len(matrix) == 5 and sum(x > 0 for row in matrix for x in row) == 4
     with pytest.raises(ValueError):
@@ -55,6 +55,9 @@ def test_build_merge_and_search(spark, files):
     run(spark, "build", data=data, out=f"{folder}/parts", M=8, ef_construction=60, parts=3)
     run(spark, "build-one", data=data, out=f"{folder}/one", M=8, ef_construction=60)
     assert index.edges(spark.read.parquet(f"{folder}/one"), None).where("level > 0").count() == 0
+    run(spark, "graph-export", index=f"{folder}/one", file=f"{folder}/one.bin", M=8, ef_construction=60)
+    run(spark, "graph-import", file=f"{folder}/one.bin", out=f"{folder}/back")
+    assert spark.read.parquet(f"{folder}/back").drop("links").exceptAll(spark.read.parquet(f"{folder}/one").drop("links")).count() == 0
     run(spark, "merge-cross", index=[f"{folder}/parts"], out=f"{folder}/cross", M=8, order="pairwise")
     run(spark, "merge-sliding", index=[f"{folder}/parts"], out=f"{folder}/sliding", M=8, order="mst", order_file=matrix_file(spark, folder))
     run(spark, "merge-overlap", index=[f"{folder}/parts"], out=f"{folder}/joined", M=8)

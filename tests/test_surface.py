@@ -166,3 +166,40 @@ def test_entry_has_a_stable_schema(spark):
     df = e.entry(spark)
     assert df.columns == ["q_id", "rank", "vec_id", "dist"] and df.count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_graph_files(spark, rows, tmp_path):
+    from vecweft.operators import index as ann
+    from vecweft.sources import graphfiles
+
+    base = spark.createDataFrame([(i * 3, r.tolist()) for i, r in enumerate(rows)], "vec_id long, embedding array<float>").withColumn("part_id", F.lit(0))
+    settings = ann.Settings("l2", 4, 40)
+    built = ann.build(base, settings).withColumn("deleted", F.col("vec_id") == 9).persist()
+    path = str(tmp_path / "graph.bin")
+    graphfiles.write_graph(built, path, settings)
+    head = graphfiles.read_header(path)
+    assert (head["count"], head["m"], head["max_m0"], head["vector"], head["record"]) == (300, 4, 8, 36, 36 + 32 + 8) and head["top"] >= 1
+    back = graphfiles.read_graph(spark, path)
+    plain = lambda df: {r["vec_id"]: (r["level"], r["deleted"], tuple(r["embedding"]), [sorted(x) for x in r["links"]]) for r in df.collect()}
+    assert plain(back) == plain(built)
+    queries = base.where("vec_id < 60").select("vec_id", "embedding")
+    assert ann.search(back, queries, 5, 40).exceptAll(ann.search(built, queries, 5, 40)).count() == 0
+    data = open(path, "rb").read()
+    for wrong in (data[:-3], data + b"x", data[:50], data[:200]):
+        open(path, "wb").write(wrong)
+        with pytest.raises(Exception, match="cut off|too many|no header"):
+            graphfiles.read_graph(spark, path).collect()
+
+
+def test_storage_needs_a_shared_folder_on_a_cluster(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from vecweft import storage
+
+    none = SimpleNamespace(get=lambda key, default=None: None)
+    context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False))))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        storage.shared_dir(SimpleNamespace(conf=none, sparkContext=context))
+    before = spark.conf.get(storage.BATCH_ROWS)
+    table = storage.written(spark.range(5), "five", 2)
+    assert table.count() == 5 and spark.conf.get(storage.BATCH_ROWS) == before

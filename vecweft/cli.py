@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import index, knn, merge, metrics, order, partition
-from .sources import idfiles, vecfiles
+from .sources import graphfiles, idfiles, vecfiles
 from .storage import written
 
 
@@ -29,8 +29,8 @@ def _settings(args: argparse.Namespace) -> index.Settings:
     return index.Settings(args.space, args.M, args.ef_construction)
 
 
-def _centroids(spark: SparkSession, db: str, m: int) -> list[list[float]]:
-    return partition.kmeans(_vectors(spark, db), m)
+def _centroids(spark: SparkSession, args: argparse.Namespace) -> list[list[float]]:
+    return partition.kmeans(_vectors(spark, args.db), args.num_clusters, args.iterations)
 
 
 def partition_random(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -40,13 +40,13 @@ def partition_random(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def partition_kmeans(spark: SparkSession, args: argparse.Namespace) -> None:
     base = _vectors(spark, args.db)
-    near = partition.nearest_centroids(base, _centroids(spark, args.db, args.num_clusters)).select("vec_id", F.col("cid").alias("part_id"))
+    near = partition.nearest_centroids(base, _centroids(spark, args)).select("vec_id", F.col("cid").alias("part_id"))
     vecfiles.write_partitions(written(base.join(near, "vec_id"), "placed"), args.out, args.suffix)
 
 
 def partition_overlap(spark: SparkSession, args: argparse.Namespace) -> None:
     base = _vectors(spark, args.db)
-    placed = written(partition.overlap_assign(base, _centroids(spark, args.db, args.num_clusters), args.kbase), "placed")
+    placed = written(partition.overlap_assign(base, _centroids(spark, args), args.kbase), "placed")
     idfiles.write_assignments(placed, f"{args.out}.assignments")
     idfiles.write_idmaps(placed, args.num_clusters, f"{args.out}.idmaps")
     idfiles.write_locals(placed, f"{args.out}.locals")
@@ -55,7 +55,7 @@ def partition_overlap(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def _cost(spark: SparkSession, args: argparse.Namespace) -> list[list[float]]:
-    centres = _centroids(spark, args.db, args.num_clusters)
+    centres = _centroids(spark, args)
     return [[sum((x - y) ** 2 for x, y in zip(a, b, strict=True)) for b in centres] for a in centres]
 
 
@@ -85,6 +85,16 @@ def build_one(spark: SparkSession, args: argparse.Namespace) -> None:
     index.build(_vectors(spark, args.data).withColumn("part_id", F.lit(0)), settings).write.mode("overwrite").parquet(args.out)
 
 
+def graph_import(spark: SparkSession, args: argparse.Namespace) -> None:
+    """An index file becomes an index table."""
+    graphfiles.read_graph(spark, args.file, args.part_id).write.mode("overwrite").parquet(args.out)
+
+
+def graph_export(spark: SparkSession, args: argparse.Namespace) -> None:
+    """An index table of one partition becomes an index file."""
+    graphfiles.write_graph(_index(spark, args.index), args.file, _settings(args))
+
+
 def _order(spark: SparkSession, args: argparse.Namespace, m: int) -> DataFrame:
     return order.merge_order(spark, args.order, m, weights=order.read_matrix(spark, args.order_file) if args.order_file else None)
 
@@ -150,16 +160,18 @@ def parser() -> argparse.ArgumentParser:
     space = ("--space", dict(default="l2", choices=("l2", "ip", "cosine")))
     graph = (("--M", number(16)), ("--ef_construction", number(200)), space)
     clusters = (("--num_clusters", number()), ("--db", text), ("--out", text))
-    suffix = ("--suffix", dict(default=".fvecs"))
+    suffix, rounds = ("--suffix", dict(default=".fvecs")), ("--iterations", number(20))
     merging = (("--index", dict(required=True, nargs="+")), ("--out", text), ("--M", number(16)), space)
     ordered = (("--order", dict(default="unweighted-graph")), ("--order_file", dict(default=None)))
     program("partition-random", partition_random, *clusters, suffix)
-    program("partition-kmeans", partition_kmeans, *clusters, suffix)
-    program("partition-overlap", partition_overlap, *clusters, suffix, ("--kbase", number(2)))
-    program("order-2hop", order_2hop, *clusters, ("--R", dict(type=int, default=None)))
-    program("order-mst", order_mst, *clusters)
+    program("partition-kmeans", partition_kmeans, *clusters, suffix, rounds)
+    program("partition-overlap", partition_overlap, *clusters, suffix, rounds, ("--kbase", number(2)))
+    program("order-2hop", order_2hop, *clusters, rounds, ("--R", dict(type=int, default=None)))
+    program("order-mst", order_mst, *clusters, rounds)
     program("build", build, ("--data", text), ("--out", text), *graph, ("--parts", number(1)), ("--part_id", number(0)), ("--first_id", number(0)))
     program("build-one", build_one, ("--data", text), ("--out", text), *graph)
+    program("graph-import", graph_import, ("--file", text), ("--out", text), ("--part_id", number(0)))
+    program("graph-export", graph_export, ("--index", text), ("--file", text), *graph)
     program("merge-cross", merge_cross, *merging, *ordered, ("--ef", number(40)), ("--stop_ratio", dict(type=float, default=None)))
     program("merge-sliding", merge_sliding, *merging, *ordered, ("--global_ef", number(40)), ("--local_ef", number(10)), ("--self_ef", number(3)))
     program("merge-overlap", merge_overlap, *merging)
