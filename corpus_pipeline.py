@@ -46,7 +46,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token ids and their places in training sequences."""
     _small_batches(spark)
-    return packing.pack(docs)
+    return packing.pack(docs, forget=True)
 
 
 STAGES = [("language", language), ("exact copies", copies), ("near copies", near_copies), ("personal data", personal_data), ("packing", packed)]
