@@ -144,14 +144,14 @@ def test_stream_of_changes(spark, tmp_path):
 
 
 def test_queries_agree_with_duckdb(spark, tmp_path):
-    from vecweft.plans import oracle, queries
+    from vecweft.plans import oracle, queries, surface
 
-    made, sql = queries.queries(), oracle.oracle_sql()
+    made, sql = queries.queries() | surface.queries(), oracle.oracle_sql()
     assert set(sql) <= set(made)
     con = duckdb.connect()
     for path in glob.glob(f"{SF}/*.parquet"):
         con.sql(f"create view {os.path.basename(path)[:-8]} as select * from '{path}'")
-    for name in ("knn_l2_exact", "knn_spaces", "range_search_capped", "multivector_search", "recall_at_k", "random_partition", "overlap_assign", "order_circle", "order_circulant", "degree_stats", "replace_deleted"):
+    for name in ("knn_l2_exact", "knn_spaces", "range_search_capped", "multivector_search", "recall_at_k", "random_partition", "overlap_assign", "order_circle", "order_circulant", "degree_stats", "replace_deleted", "order_mst", "vector_slices", "id_files", "l2_bytes"):
         made[name](spark, SF).write.parquet(out := str(tmp_path / name))
         con.sql(f"create or replace table o as {sql[name]}")
         columns = ", ".join(f'"{c}"' for c in con.table("o").columns)
