@@ -18,18 +18,32 @@ def test_exact_dedup_is_brute_force(docs, corpus):
     for doc_id, text, *_ in corpus:
         groups[text or ""].append(doc_id)
     want = {(i, max(ids), len(ids), i == max(ids), hashlib.sha256(t.encode()).hexdigest()) for t, ids in groups.items() for i in ids}
-    for salts in (1, 32, 63):
-        assert {tuple(r) for r in exact_dedup.exact_dedup(docs, salts=salts).collect()} == want
-    kept = exact_dedup.drop_exact_copies(docs)
-    assert kept.columns == docs.columns and kept.count() == len(groups)
+    for hot_rows in (1, 3, 10_000):
+        assert {tuple(r) for r in exact_dedup.exact_dedup(docs, hot_rows=hot_rows).collect()} == want
+        kept = exact_dedup.drop_exact_copies(docs, hot_rows=hot_rows)
+        assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {max(ids) for ids in groups.values()} and kept.count() == len(groups)
+    assert {tuple(r) for r in kept.collect()} <= {tuple(r) for r in docs.collect()}
 
 
 def test_exact_dedup_of_odd_tables(odd, nothing):
     found = exact_dedup.exact_dedup(odd).collect()
     assert len(found) == 5 and {(r["doc_id"], r["keep_id"], r["group_size"]) for r in found} == {(None, 7, 3), (7, 7, 3), (None, 8, 2), (8, 8, 2)}
     assert exact_dedup.exact_dedup(nothing).count() == 0
-    with pytest.raises(ValueError):
-        exact_dedup.exact_dedup(odd, salts=64)
+    assert sorted(exact_dedup.drop_exact_copies(odd).select("doc_id").collect()) == [(7,), (8,)]
+    assert exact_dedup.drop_exact_copies(odd).schema == odd.schema and exact_dedup.drop_exact_copies(nothing).count() == 0
+
+
+def test_copies_under_repeated_ids_and_any_columns(spark):
+    rows = [(7, "a", 1), (7, "b", 2), (9, "b", 3), (7, "a", 4), (None, "c", 5), (None, "c", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, best int").withColumn("row", F.create_map(F.lit("k"), F.col("best")))
+    for hot_rows in (1, 10_000):
+        kept = exact_dedup.drop_exact_copies(docs, hot_rows=hot_rows)
+        assert kept.columns == docs.columns and sorted((r["doc_id"] or 0, r["text"], r["best"]) for r in kept.collect()) == [(0, "c", 6), (7, "a", 4), (9, "b", 3)]
+        assert all(r["row"] == {"k": r["best"]} for r in kept.collect())
+    named = spark.createDataFrame([("x", "t"), ("y", "t")], "`the id` string, `a.b` string")
+    assert exact_dedup.drop_exact_copies(named, "the id", "a.b").collect() == [("y", "t")]
+    found = exact_dedup.exact_dedup(named.toDF("doc_id", "text")).collect()
+    assert {(r["doc_id"], r["keep_id"], r["kept"]) for r in found} == {("x", "y", False), ("y", "y", True)}
 
 
 def brute_components(rows, words, percent):
@@ -79,6 +93,26 @@ def test_near_duplicates_of_odd_tables(odd, nothing):
     assert near_dedup.drop_near_copies(odd).columns == odd.columns
 
 
+def test_repeated_ids_lose_no_link(spark):
+    w, z = (" ".join(f"{p}{i}" for i in range(60)) for p in "wz")
+    rows = [(5, w), (5, z), (6, z + " extra"), (8, w + " extra"), (8, w + " extra")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = near_dedup.near_duplicates(docs, words=4).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in found} == {(5, 5), (6, 5), (8, 5)} and len(found) == 5
+    kept = near_dedup.drop_near_copies(docs, words=4).collect()
+    assert sorted(kept) == sorted([(5, w), (5, z)])
+    twice = spark.createDataFrame([(1, w, 1), (1, w, 2), (2, w + " x", 3), (None, z, 4), (None, z + " y", 5)], "doc_id long, text string, n int")
+    assert sorted((r["doc_id"] or 0) for r in near_dedup.drop_near_copies(twice).collect()) == [0, 1]
+    with pytest.raises(TypeError, match="integer ids"):
+        near_dedup.near_duplicates(docs.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
+def test_cells_of_small_blocks_are_brute_force(spark, monkeypatch):
+    for name, value in (("BLOCK", 1500), ("ROWS_AT_ONCE", 20), ("PAIRS_AT_ONCE", 64), ("FEW_WORDS", 1), ("PAIRS_A_TASK", 7)):
+        monkeypatch.setattr(near_dedup, name, value)
+    test_a_group_of_near_copies_loses_no_link(spark)
+
+
 def test_near_dedup_sql(docs, corpus):
     con = duckdb.connect()
     con.sql("create table documents (doc_id bigint, text varchar)")
@@ -159,6 +193,26 @@ def test_buckets_are_fisher_yates_shuffled(spark):
     assert [r["doc_id"] for r in found] == fisher_yates(np.random.RandomState([seed >> 32, seed & 0xFFFFFFFF]), 37)
 
 
+def test_a_frequent_id_is_dealt_over_buckets(spark):
+    docs = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    found = sharding.shuffle_shards(docs, 5, bucket_bytes=2000).collect()
+    assert len({r["shard"] for r in found if r["doc_id"] == 7}) == 1 and sorted(r["text"] for r in found) == sorted(r["text"] for r in docs.collect())
+    for shard in range(5):
+        assert sorted(r["slot"] for r in found if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in found)))
+    hot = next(r["shard"] for r in found if r["doc_id"] == 7)
+    places = [r["slot"] for r in found if r["doc_id"] == 7]
+    assert max(places) - min(places) > 900 and hot in range(5)
+
+
+def test_shards_of_clashing_columns(spark):
+    names = ["doc_id", "text", "__top", "__shard", "task", "bucket", "id", "one", "row", "k", "a.b", "first", "n"]
+    docs = spark.createDataFrame([tuple([i, f"t{i}", *range(len(names) - 2)]) for i in range(20)], ", ".join(f"`{c}` {'string' if c == 'text' else 'long'}" for c in names))
+    docs = docs.withColumn("m", F.create_map(F.lit("x"), F.col("doc_id")))
+    found = sharding.shuffle_shards(docs, 3)
+    assert found.columns == [*names, "m", "shard", "slot", "grown_shard"] and found.count() == 20
+    assert {(r["doc_id"], r["text"], r["m"]["x"]) for r in found.collect()} == {(i, f"t{i}", i) for i in range(20)}
+
+
 def test_shards_of_odd_tables(odd, nothing, tmp_path):
     found = sharding.shuffle_shards(odd, 4, bucket_bytes=20)
     assert found.count() == 5 and found.columns.count("shard") == 1

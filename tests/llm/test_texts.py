@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -31,31 +32,70 @@ def conversations(spark, n=120):
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
 
 
-def test_roles_are_recovered_and_rendered(spark):
-    rows = conversations(spark)
-    truth = {r["conv_id"]: r["roles"] for r in rows.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("roles")).collect()}
-    transcripts = chat.as_transcripts(rows)
-    model = chat.fit(transcripts.where("conv_id % 2 = 0"))
-    found = {r["conv_id"]: r for r in chat.parse_transcripts(transcripts.where("conv_id % 2 = 1"), model).collect()}
-    right = sum(r["roles"] == truth[c] for c, r in found.items())
-    assert right >= 0.7 * len(found)
+def test_roles_are_recovered_and_texts_kept(spark):
+    rows = conversations(spark, 240)
+    truth = {r["conv_id"]: [(p["role"], p["text"]) for p in r["parts"]] for r in rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("parts")).collect()}
+    found = {r["conv_id"]: r for r in chat.recover(rows).collect()}
+    assert sum(r["roles"] == [role for role, _ in truth[c]] for c, r in found.items()) >= 0.9 * len(truth)
+    assert sum(chat.unrender(r["chat"]) == truth[c] for c, r in found.items()) >= 0.85 * len(truth)
     one = next(iter(found.values()))
     assert one["chat"].count("<|end|>\n") == one["n_turns"] == len(one["roles"])
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["system", "user", "tool"]), st.text(alphabet="<|>end\nsru ", max_size=30))))
+def test_chats_are_unambiguous(turns):
+    assert chat.unrender(chat.render(turns)) == turns
+
+
+def test_delimiters_blank_lines_and_other_roles(spark):
+    rows = []
+    for c in range(80):
+        for t, role in enumerate(["user", "assistant", "tool", "assistant"]):
+            text = {"user": "what now?", "assistant": "def f():\n    return 1\n\n\tso  ", "tool": "result 42"}[role]
+            rows.append((c, t, role, text + (" <|end|>\n<|assistant|>" if c == 3 and role == "user" else "")))
+    rows = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = {r["conv_id"]: r for r in chat.recover(rows).collect()}
+    assert sum(r["roles"] == ["user", "assistant", "tool", "assistant"] for r in found.values()) >= 72
+    assert found[3]["chat"].count("<|assistant|>") == found[3]["roles"].count("assistant")
+    right = next(r for r in found.values() if r["roles"] == ["user", "assistant", "tool", "assistant"] and chat.unrender(r["chat"])[1][1] == "def f():\n    return 1\n\n\tso  ")
+    assert right
+
+
+def test_models_decode_what_they_have_not_seen(spark):
+    rows = conversations(spark)
+    transcripts = chat.as_transcripts(rows)
+    models = chat.fit(transcripts)
+    alone = chat.fit(transcripts.where(chat.fold(F.col("conv_id")) != 0))
+    assert set(models) == set(range(chat.FOLDS)) and models[0].counts == alone[0].counts != models[1].counts
+
+
+def test_long_conversations_are_segments(spark, monkeypatch):
+    monkeypatch.setattr(chat, "SEGMENT", 10)
+    rows = spark.range(25).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    found = chat.recover(rows).orderBy("segment").collect()
+    assert [r["segment"] for r in found] == [0, 1, 2] and sum(len(r["roles"]) for r in found) == sum(r["n_turns"] for r in found)
+
+
+def test_long_transcripts(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "q " * 200_000), (1, 1, "assistant", "line of text\n" * 50_000)], "conv_id long, turn long, role string, text string")
+    assert chat.recover(rows).first()["n_turns"] >= 1
+
+
 def test_viterbi_is_the_best_path():
     rng = random.Random(4)
-    model = chat.RoleModel({(chat.name(s), f, v): rng.randint(0, 9) for s in chat.STATES for f, v in (("marker", "none"), ("marker", "user"), ("next", "user/begin"), ("next", "user/on"), ("next", "assistant/begin"))})
+    states = [f"{r}/{b}" for r in ("system", "user", "assistant") for b in ("begin", "on")]
+    model = chat.RoleModel({(s, f, v): rng.randint(0, 9) for s in [*states, "start"] for f, v in (("marker", "none"), ("marker", "user"), *(("next", n) for n in [*states, "end"]))})
     lines = [(("marker", rng.choice(["none", "user"])),) for _ in range(4)]
 
     def paths(at=0):
-        return [()] if at == len(lines) else [(s, *p) for s in range(len(chat.STATES)) for p in paths(at + 1)]
+        return [()] if at == len(lines) else [(s, *p) for s in range(len(model.states)) for p in paths(at + 1)]
 
     def score(path):
-        total = model.start[path[0]] if chat.STATES[path[0]][1] else -np.inf
+        total = model.start[path[0]] if model.states[path[0]][1] else -np.inf
         for a, b in zip(path, path[1:], strict=False):
-            total += model.after[a][b] if chat.STATES[b][1] or chat.STATES[a][0] == chat.STATES[b][0] else -np.inf
-        return total + sum(model.emit(f)[s] for f, s in zip(lines, path, strict=True))
+            total += model.after[a][b] if model.states[b][1] or model.states[a][0] == model.states[b][0] else -np.inf
+        return total + model.end[path[-1]] + sum(model.emit(f)[s] for f, s in zip(lines, path, strict=True))
 
     assert score(tuple(model.viterbi(lines))) == pytest.approx(max(map(score, paths())))
 
@@ -73,9 +113,7 @@ def test_odd_transcripts(spark):
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(packing.default_tokenizer())
 
 
 def test_packing(docs, corpus, tokenizer):
@@ -125,10 +163,23 @@ def test_bins_are_best_fit():
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from("abcdeéÉ' \n!0İΣς")), max_size=60))
-def test_word_encoder_is_the_tokenizer(text):
+@given(st.lists(st.one_of(st.characters(codec="utf-8"), st.sampled_from("abcdeéÉ' \n!0İΣς.,"), st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|"])), max_size=60).map("".join))
+def test_word_encoder_is_the_tokenizer(tokenizer, text):
     coder = packing.encoder(packing.default_tokenizer())
-    assert np.frombuffer(coder.encode(text), "<u4").tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(coder.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_special_tokens_and_other_files(tokenizer):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    text = "a <|endoftext|> b"
+    assert np.frombuffer(packing.encoder(packing.default_tokenizer()).encode(text), "<u4").tolist() == [320, 49407, 321]
+    plain = packing.encoder(packing.default_tokenizer(), True)
+    assert 49407 not in np.frombuffer(plain.encode(text), "<u4") and np.frombuffer(plain.encode(text), "<u4").tolist() == plain.tokenizer.encode(text, add_special_tokens=False).ids
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    for text in ("two  spaces\n and\tmore ", " <|endoftext|> x"):
+        assert np.frombuffer(packing.encoder(other).encode(text), "<u4").tolist() == Tokenizer.from_file(other).encode(text, add_special_tokens=False).ids
 
 
 def test_packing_of_odd_tables(odd, nothing):
@@ -152,7 +203,7 @@ def coders():
 def test_bpe_is_the_library(coders, text):
     own, library = coders
     ids = own.encode(text)
-    assert ids == library.encode_ordinary(text) and own.decode(ids) == text.encode()
+    assert ids == library.encode_ordinary(text) and own.coder.decode(ids) == text.encode()
 
 
 def test_long_runs(coders):
@@ -202,6 +253,40 @@ def test_ratings(spark, docs, corpus, odd, nothing):
     assert [r["kept"] for r in quality.rate(odd).collect()] == [False] * 5 and quality.rate(nothing).count() == 0
 
 
+def brute_verdict(text, rows):
+    """kept by its definition: Jensen-Shannon distances from the language whose common words are closest."""
+    failed = brute_rating(text)[-1]
+    kind = lambda c: "beyond ASCII" if ord(c) > 127 else "lower" if c.islower() else "upper" if c.isupper() else "digit" if c.isdigit() else "space" if c == " " else "break" if c in "\t\n\v\f\r" else "punctuation" if c in ".,;:?'\"()-" else "symbol" if " " < c < "\x7f" else "control"
+    split = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
+    by_lang = {}
+    for _, t, lang, *_ in rows:
+        if lang is not None:
+            chars, words = by_lang.setdefault(lang, (Counter(), Counter()))
+            chars.update(map(kind, t or ""))
+            words.update(split(t))
+
+    def distance(p, q):
+        p, q = ({k: n / sum(x.values()) for k, n in x.items() if n} for x in (p, q))
+        of = lambda x: sum(v * np.log2(v / ((p.get(k, 0) + q.get(k, 0)) / 2)) for k, v in x.items())
+        return np.sqrt((of(p) + of(q)) / 2)
+
+    own, n, best = Counter(split(text)), len(split(text)), None
+    for lang in sorted(by_lang):
+        chars, words = by_lang[lang]
+        common = dict(sorted(words.items(), key=lambda x: (-x[1], x[0].encode()))[: quality.COMMON])
+        rest = lambda x, keys: {**{k: x[k] for k in keys}, "": sum(x.values()) - sum(x[k] for k in keys)}
+        found = distance(rest(own, common), rest(words, common)) if n else 0.0
+        if best is None or found < best[0] - 1e-12:
+            best = found, distance(Counter(map(kind, text)), chars) if n else 0.0
+    good = (len(text or "") < quality.LEAST_CHARS or best[1] <= quality.MOST_CHARS) and (n < quality.LEAST_WORDS or best[0] <= quality.MOST_WORDS + quality.NOISE / n**0.5)
+    return good and not failed
+
+
+def test_verdicts_are_brute_force(docs, corpus):
+    found = {r["doc_id"]: r["kept"] for r in quality.rate(docs).collect()}
+    assert found == {r[0]: bool(brute_verdict(r[1], corpus)) for r in corpus}
+
+
 def test_divergence():
     p, q = np.array([1.0, 1, 0, 0]), np.array([[0.0, 0, 5, 5], [3, 3, 0, 0], [1, 0, 1, 0]])
     assert quality.divergence(p, q) == pytest.approx([1, 0, np.sqrt(0.5)])
@@ -221,6 +306,42 @@ def test_languages(spark, docs, odd, nothing):
     assert langid.identify(unknown).first()["lang_pred"] == "und"
 
 
+def test_predictions_are_brute_force(docs, corpus):
+    import zstandard
+
+    dictionaries = langid.fit(docs)
+    settings_ = zstandard.ZstdCompressionParameters.from_level(langid.LEVEL, min_match=langid.MIN_MATCH, write_content_size=False, write_checksum=False, write_dict_id=False)
+    size = {k: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=settings_) for k, d in dictionaries.items()}
+    found = {r["doc_id"]: r for r in langid.identify(docs).collect()}
+    short = [r for r in corpus if r[1] and len(r[1].encode()) < 500 and any(c.isalpha() for c in r[1])]
+    assert len(short) > 20
+    for doc_id, text, *_ in short:
+        data = " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()).encode() + b" "
+        for leads in (1, langid.LEADS):
+            saved = {}
+            for place, (lang, d) in enumerate(dictionaries.items()):
+                at = [len(d) * ((langid.LEADS // 2 + i) % langid.LEADS) // langid.LEADS for i in range(leads)]
+                saved[lang] = sum(max(1, len(size[lang].compress(lead + data)) - len(size[lang].compress(lead))) for lead in (d[a : a + langid.LEAD] + b" " for a in at)), place
+            first, second = sorted(saved.values())[:2]
+            if (second[0] - first[0]) / second[0] >= langid.MARGIN:
+                break
+        assert saved[found[doc_id]["lang_pred"]] == first and found[doc_id]["margin"] == pytest.approx((second[0] - first[0]) / second[0])
+
+
+def test_letters_null_ids_and_whole_samples(spark):
+    rows = [(None, prose(random.Random(i), lang, 60), lang, None, None) for i, lang in enumerate(["en", "de"] * 6)]
+    docs = spark.createDataFrame([*rows, (None, None, "en", None, None), (5, "²½ Ⅷ", "en", None, None)], SCHEMA)
+    assert set(langid.fit(docs)) == {"en", "de"}
+    found = langid.identify(docs).collect()
+    assert sum(r["lang_pred"] == "und" for r in found) == 2 and {r["lang_pred"] for r in found} == {"und", "en", "de"}
+    kept = langid.drop_rejected(docs)
+    assert kept.columns == docs.columns and kept.count() == 12
+    one = spark.createDataFrame([(1, prose(random.Random(1), "en", 40_000), "en", None, None), (3, "klein aber fein und", "de", None, None)], SCHEMA)
+    assert len(langid.fit(one)["en"]) > 100_000
+    twice = spark.createDataFrame([(7, rows[0][1], "en", None, None), (7, "12 34", "en", None, None), (7, rows[1][1], "de", None, None), (8, rows[3][1], "de", None, None)], SCHEMA)
+    assert sorted(r["text"] for r in langid.drop_rejected(twice).collect()) == sorted([rows[0][1], rows[1][1], rows[3][1]])
+
+
 def test_dictionaries_learn_only_from_known_rows(spark, docs):
     wrong = docs.withColumn("lang", F.when(langid.held_out(F.col("doc_id")), "xx").otherwise(F.col("lang")))
     assert set(langid.fit(wrong)) == {"en", "de", "fr"}
@@ -259,9 +380,69 @@ def test_equal_values_stay_linked_and_permutations_are_one_to_one(spark, nothing
         assert sorted(permute(i, n, "t") for i in range(n)) == list(range(n))
     assert p.rewrite("a@b.org")[0] != pii.Pseudonyms(b"other").rewrite("aaaa@b.org")[0]
     rows = spark.createDataFrame([(1, "mail jane.doe7@example.org", 3), (2, None, 4), (3, "", 5)], "doc_id long, text string, pii_count int")
-    found = pii.pseudonymise(rows, details=True).orderBy("doc_id").collect()
+    found = pii.pseudonymise(rows, b"k", details=True).orderBy("doc_id").collect()
     assert [r["pii_count"] for r in found] == [1, 0, 0] and found[1]["text"] is None and "jane" not in found[0]["text"]
-    assert pii.pseudonymise(odd).columns == odd.columns and pii.report(nothing).count() == 0
+    assert pii.pseudonymise(odd, b"k").columns == odd.columns and pii.report(nothing, b"k").count() == 0
+    with pytest.raises(ValueError):
+        pii.pseudonymise(odd, b"")
+
+
+def brute_pseudonym(key, value, n, name):
+    """The permutation as the sequence of its definition: two halves, keyed rounds, again until the value lies below n."""
+    half = 1
+    while 1 << 2 * half < n:
+        half += 1
+    size = -(-half // 8)
+    while True:
+        sides = [value // (1 << half), value % (1 << half)]
+        for i in range(pii.ROUNDS):
+            digest = hashlib.blake2b(f"{name}/{n}/".encode() + bytes([i]) + sides[-1].to_bytes(size, "big"), key=hashlib.blake2b(key, digest_size=32).digest(), digest_size=min(64, size + 8)).digest()
+            sides.append(sides[-2] ^ int.from_bytes(digest, "big") % (1 << half))
+        value = sides[-2] * (1 << half) + sides[-1]
+        if value < n:
+            return value
+
+
+def test_pseudonyms_are_the_permutations_defined():
+    p, permute = pii.Pseudonyms(b"k"), pii.Permuter(b"k")
+    for n in (2, 7, 256, 1000, 10**15 + 3):
+        for value in {0, 1, n // 2, n - 1}:
+            assert permute(value, n, "x") == brute_pseudonym(b"k", value, n, "x") and permute.inverse(permute(value, n, "x"), n, "x") == value
+    day = pii.datetime.date(2021, 3, 4).toordinal() - pii.FIRST_DAY
+    new = pii.datetime.date.fromordinal(pii.FIRST_DAY + brute_pseudonym(b"k", day, pii.LAST_DAY - pii.FIRST_DAY + 1, "date"))
+    assert p.rewrite("born 2021-03-04")[0] == f"born {new.isoformat()}"
+    payload = f"{brute_pseudonym(b'k', 453914880343646, 10**15, 'card'):015d}"
+    assert p.rewrite("4539148803436467")[0] == payload + pii.luhn(payload)
+    phone = 10**9 + brute_pseudonym(b"k", 2025550101 - 10**9, 9 * 10**9, "phone")
+    assert p.rewrite("+12025550101")[0] == f"+1{phone}"
+
+
+def test_all_values_of_a_shape_map_one_to_one():
+    p = pii.Pseudonyms(b"k")
+    short = [a + b + c for a in pii.HEX + "gz" for b in pii.HEX + "gz" for c in pii.HEX + "gz"]
+    images = {p._secret(v) for v in short}
+    assert len(images) == len(short) and all((set(p._secret(v)) <= set(pii.HEX)) == (set(v) <= set(pii.HEX)) for v in short)
+    assert len({p._number(f"{i:03d}") for i in range(1000)}) == 1000 and all(p._number(f"0{i}")[0] == "0" for i in range(10, 99))
+    assert len({p.permute.text(f"{a}{b}", "t") for a in "éèêàâ" for b in pii.LOWER}) == 5 * 26
+    long = ["x" * 200, "x" * 199 + "y", "y" + "x" * 199]
+    assert len({p.permute.text(v, "t") for v in long}) == 3
+    assert p.permute.text(long[0], "t")[:128] == p.permute.text(long[1], "t")[:128]
+
+
+def test_phone_numbers_and_letters_beyond_ascii():
+    p = pii.Pseudonyms(b"k")
+    digits = lambda t: "".join(c for c in p.rewrite(t)[0] if c.isdigit())
+    assert digits("+1 202 555 0101") == digits("+12025550101") == "1" + digits("(202) 555-0101")
+    assert digits("+44 20 7946 0958")[:2] == "44" and digits("020 7946 0958") == "0" + digits("+44 20 7946 0958")[2:]
+    new, spans = p.rewrite("to zoë.müller@example.org now")
+    assert [s[0] for s in spans] == ["email"] and new.endswith("@example.org now") and new[5] != "ë" and new[5].islower() and not new[5].isascii()
+
+
+@pytest.mark.parametrize("text", ["a" * 10**6 + "1", "1" * 10**6, "a1" * 500_000, "a.b-" * 250_000 + "@", "1 " * 50_000, "password " * 110_000 + "9", "@a" * 500_000, "a@" + "b." * 500_000, "password = " + "x1" * 500_000, "é" * 10**6 + "@x.org"])
+def test_long_texts_take_linear_time(text):
+    began = time.process_time()
+    pii.Pseudonyms(b"k").rewrite(text)
+    assert time.process_time() - began < 30
 
 
 # --- toxicity
@@ -300,6 +481,62 @@ def test_models_are_distributions():
     assert model.word("qqq") == pytest.approx(0, abs=1)
 
 
+def test_models_are_brute_force_kneser_ney():
+    rng, order = random.Random(6), 3
+    texts = rng.choices(WORDS["en"], k=60), rng.choices(WORDS["en"][:25], k=20)
+    grams = [Counter(g for w in words for g in toxicity.grams(w, order)) for words in texts]
+    every = set(grams[0]) | set(grams[1])
+    model = toxicity.Models(sorted((g, grams[0][g], grams[1][g]) for g in every))
+    letters = sorted({g[-1] for g in every})
+    shapes = {order: every}
+    for n in range(order - 1, 0, -1):
+        shapes[n] = {g[1:] for g in shapes[n + 1]}
+    before = {n: Counter(g[1:] for g in shapes[n + 1]) for n in range(1, order)}
+
+    def shared(context, letter):
+        """Interpolated continuation probabilities, from counts of what precedes."""
+        n = len(context) + 1
+        lower = 1 / len(letters) if n == 1 else shared(context[1:], letter)
+        after = {x: before[n][context + x] for x in letters if before[n][context + x]}
+        total = sum(after.values())
+        return (max(after.get(letter, 0) - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * len(after) * lower) / total if total else lower
+
+    def of(k, context, letter):
+        after = {x: grams[k][context + x] for x in letters if grams[k][context + x]}
+        total = sum(after.values())
+        return (max(after.get(letter, 0) - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * len(after) * shared(context[1:], letter)) / total if total else shared(context[1:], letter)
+
+    contexts = {g[:-1] for g in every}
+    for context in contexts:
+        for k in (0, 1):
+            assert sum(of(k, context, x) for x in letters) == pytest.approx(1)
+    for g in every:
+        assert model.seen[g] == pytest.approx(np.log(of(1, g[:-1], g[-1]) / of(0, g[:-1], g[-1])))
+    for context in contexts:
+        new = next((x for x in letters if context + x not in every), None)
+        if new:
+            assert model.backoff[context] == pytest.approx(np.log(of(1, context, new) / of(0, context, new)))
+
+
+def test_toxicity_of_odd_labels_and_long_texts(spark):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, "en", 30) + (" blurghish" if i % 4 == 0 else ""), None, None, None) for i in range(120)] + [(500, prose(rng, "en", 30_000), None, None, None), (1, "other text of id one", None, None, None), (None, "blurghish", None, None, None)]
+    labels = [(i, 1, int(i % 4 == 0)) for i in range(120)] + [(3, 1, None), (None, None, 1), (4, 0, 7), (2, 1, 0)]
+    found = toxicity.score(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert len(found) == 123 and all(0 <= r["score"] <= 1 for r in found) and len([r for r in found if r["doc_id"] == 1]) == 2
+    with pytest.raises(TypeError):
+        toxicity.score(spark.createDataFrame([("a", "t")], "doc_id string, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+
+
+def test_very_long_texts(spark):
+    text = prose(random.Random(3), "en", 60_000) + "\nend"
+    docs = spark.createDataFrame([(1, text, "en", None, None), (2, prose(random.Random(4), "de", 300), "de", None, None)], SCHEMA)
+    rated = {r["doc_id"]: r for r in quality.rate(docs).collect()}
+    assert rated[1]["n_words"] == len(text.split()) and rated[1]["word_chars"] == sum(map(len, text.split()))
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs).collect()} == {1: "en", 2: "de"}
+    assert pii.pseudonymise(docs, b"k").where("doc_id = 1").first()["text"] == text
+
+
 def test_model_table_is_the_model(spark):
     rng = random.Random(2)
     letters = "".join(map(chr, range(0x4E00, 0x4E00 + 600)))
@@ -365,7 +602,7 @@ def test_every_fold_but_the_held_out_teaches(spark):
 
 
 def test_ibans_end_before_other_groups():
-    pseudonyms = pii.Pseudonyms(pii.KEY)
+    pseudonyms = pii.Pseudonyms(b"k")
     for iban, after in (("ES91 2100 0418 4502 0005 1332", " BIC"), ("AT611904300234573201", " 2024"), ("ES91 2100 0418 4502 0005 1332", " AT611904300234573201")):
         new, spans = pseudonyms.rewrite(f"to {iban}{after} now")
         assert iban not in new and "AT611904300234573201" not in new and spans[0] == ("iban", 3, 3 + len(iban))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exact_dedup, langid, near_dedup, packing, pii, quality, sharding, toxicity
+from . import bpe, chat, exact_dedup, facts, langid, near_dedup, packing, pii, quality, sharding, toxicity
 from .common import table
 
 
@@ -22,8 +22,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": lambda s, d: bpe.round_trip(table(s, d, "documents")),
         "op9_near_dedup": lambda s, d: near_dedup.near_duplicates(table(s, d, "documents"), words=4),
         "op10_toxicity": lambda s, d: toxicity.score(table(s, d, "documents"), table(s, d, "labels")),
-    }
+    } | facts.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exact_dedup.SQL, "op9_near_dedup": near_dedup.sql()}
+    return {"op5_exact_dedup": exact_dedup.SQL, "op9_near_dedup": near_dedup.sql()} | facts.oracle_sql()

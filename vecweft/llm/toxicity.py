@@ -199,7 +199,7 @@ def evidence(docs: DataFrame, counts: DataFrame, order: int = ORDER) -> DataFram
 
     No process holds the model: each chunk of documents meets, by a join, what the model knows of its own contexts.
     """
-    found = written(chunked(docs, order), "chunks")
+    found = written(chunked(docs, order), "chunks", 2000)
     known = found.where("context is not null").select(F.col("chunk").alias("of_chunk"), "context").join(model_table(counts, order), "context")
 
     def run(chunk: pa.Table, known: pa.Table) -> pa.Table:
@@ -270,10 +270,10 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     log-likelihoods exceed the ordinary ones most, since a long text may be toxic by one expression, the
     length-normalised likelihoods of the whole text, and the share of its words that are likely toxic. Null
     and empty texts, and texts without letters, get the lowest score, 0. If a class has no labelled document,
-    nothing is predicted toxic. A null id has no label. Repeated rows get the same answer each; other columns
+    nothing is predicted toxic. Ids are integers; a null id has no label, and a null label teaches nothing. Repeated rows get the same answer each; other columns
     are ignored.
     """
-    docs = slim(docs, id_col, text_col)
+    docs = slim(docs, id_col, text_col, whole=True)
     known = labels.select(F.col("doc_id").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null").where(fold(F.col("doc_id")) != 0)
     known = size_checked(known.distinct(), BROADCAST_LABELS)
     labelled = docs.join(known, "doc_id")
