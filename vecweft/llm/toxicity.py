@@ -170,7 +170,7 @@ def chunked(docs: DataFrame, order: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        compress = zstandard.ZstdCompressor(level=9).compress
+        compress = zstandard.ZstdCompressor(level=4).compress
         for n, (ids, texts) in enumerate(_chunks(batches)):
             place: dict[str, int] = {}
             found, size = [], []
@@ -190,6 +190,18 @@ def chunked(docs: DataFrame, order: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "chunk long, context string, words binary")
 
 
+class _Seen(dict):
+    """Ratios of grams; one that no class has seen gets its context's backoff, or 0."""
+
+    def __init__(self, backoff: dict[str, int]):
+        super().__init__()
+        self.backoff = backoff
+
+    def __missing__(self, gram: str) -> int:
+        value = self[gram] = self.backoff.get(gram[:-1], 0)
+        return value
+
+
 def evidence(docs: DataFrame, counts: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id and EVIDENCE, which is null for a text without words.
 
@@ -214,11 +226,12 @@ def evidence(docs: DataFrame, counts: DataFrame, order: int = ORDER) -> DataFram
         backoff = dict(zip(contexts, known.column("backoff").to_pylist(), strict=True))
         letters = after.flatten()
         follows = np.repeat(np.arange(len(contexts)), np.diff(after.offsets.to_numpy()) if len(contexts) else 0).tolist()
-        seen = {contexts[i] + letter: value for i, letter, value in zip(follows, letters.field("letter").to_pylist(), letters.field("seen").to_pylist(), strict=True)}
+        seen = _Seen(backoff)
+        seen.update((contexts[i] + letter, value) for i, letter, value in zip(follows, letters.field("letter").to_pylist(), letters.field("seen").to_pylist(), strict=True))
         ratio, size = np.empty(len(words)), np.empty(len(words))
         for i, word in enumerate(words):
             found = grams(word, order)
-            ratio[i], size[i] = sum([seen[g] if g in seen else backoff.get(g[:-1], 0) for g in found]), len(found)
+            ratio[i], size[i] = sum(map(seen.__getitem__, found)), len(found)
         by_length = (ratio / UNIT / (size + LENGTH_PRIOR))[place]
         best = np.lexsort((-by_length, where))
         n = np.bincount(where, minlength=len(ids))
